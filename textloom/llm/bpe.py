@@ -27,7 +27,7 @@ from textloom.llm.common import codepoints, documents_only, slices, utf8_column
 
 _SLICE = 1 << 20
 #: Pieces kept in a worker's cache; when full it becomes the older one and a new one starts.
-CACHE_PIECES = 250_000
+CACHE_PIECES = 150_000
 #: Pieces of more bytes are merged one by one with a heap.
 MATRIX_BYTES = 40
 
@@ -331,19 +331,22 @@ def _vocabulary(lines: bytes) -> Vocabulary:
 
 
 class _Encode:
-    def __init__(self, shared):
-        self.shared = shared
+    def __init__(self, shared, decode: bool):
+        self.shared, self.decode = shared, decode
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = _vocabulary(self.shared.value)
         for b in batches:
             raw, offsets, _ = utf8_column(b.column(b.num_columns - 1))
-            for i, j in slices(offsets, 8 << 20):
+            for i, j in slices(offsets, 4 << 20):
                 ids, spans = v.encode_batch(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+                out = [pa.array(ids, pa.binary()), pa.array(spans, pa.binary())]
+                names = ["ids", "piece_offsets"]
+                if self.decode:
+                    out.append(pa.array([v.decode(x) for x in ids], pa.binary()))
+                    names.append("decoded")
                 keep = b.slice(i, j - i)
-                yield pa.RecordBatch.from_arrays(
-                    [*keep.columns[:-1], pa.array(ids, pa.binary()), pa.array(spans, pa.binary())], names=[*keep.schema.names[:-1], "ids", "piece_offsets"]
-                )
+                yield pa.RecordBatch.from_arrays([*keep.columns[:-1], *out], names=[*keep.schema.names[:-1], *names])
 
 
 class _Decode:
@@ -364,11 +367,14 @@ def _shared(df: DataFrame, vocabulary: str):
         return df.sparkSession.sparkContext.broadcast(f.read())  # one vocabulary file, whatever the corpus
 
 
-def encode(df: DataFrame, vocabulary: str, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """(key, ids, piece_offsets): packed ids of each whole text and the byte offset of each of its pieces."""
+def encode(df: DataFrame, vocabulary: str, text: str = "text", key: str = "doc_id", decoded: bool = False) -> DataFrame:
+    """(key, ids, piece_offsets): packed ids of each whole text and the byte offset of each of its pieces.
+
+    With ``decoded``, also the bytes that the ids decode to, made in the same pass.
+    """
     kind = dict(df.select(F.col(f"`{key}`").alias("k")).dtypes)["k"]
     own = df.select(F.col(f"`{key}`").alias("doc_key"), F.col(f"`{text}`").cast("string").alias("doc_text"))
-    out = own.mapInArrow(_Encode(_shared(df, vocabulary)), f"doc_key {kind}, ids binary, piece_offsets binary")
+    out = own.mapInArrow(_Encode(_shared(df, vocabulary), decoded), f"doc_key {kind}, ids binary, piece_offsets binary" + ", decoded binary" * decoded)
     return out.withColumnRenamed("doc_key", key)
 
 
@@ -383,14 +389,11 @@ def decode(df: DataFrame, vocabulary: str, key: str = "doc_id", ids: str = "ids"
 
 
 def round_trip_digests(df: DataFrame, vocabulary: str) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256, n_pieces) of every document, through encode() and decode()."""
-    coded = encode(df, vocabulary)
-    own = coded.select("doc_id", F.struct("ids", (F.length("piece_offsets") / 4).cast("long").alias("n_pieces")).alias("c"))
-    flat = own.select(F.struct("doc_id", "c.n_pieces").alias("doc"), F.col("c.ids").alias("ids"))
-    return decode(flat, vocabulary, key="doc").select(
-        F.col("doc.doc_id").alias("doc_id"),
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256, n_pieces) of every document, of what encode() makes."""
+    return encode(df, vocabulary, decoded=True).select(
+        "doc_id",
         (F.length("ids") / 4).cast("long").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
-        F.col("doc.n_pieces").alias("n_pieces"),
+        (F.length("piece_offsets") / 4).cast("long").alias("n_pieces"),
     )
