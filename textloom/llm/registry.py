@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm import ann, bpe, langid, mixing, url_rules, vector_dedup
+from textloom.llm import ann, bpe, langid, mixing, quality, suffix_dedup, url_rules, vector_dedup
 from textloom.llm.common import table
 from textloom.llm.oracles import ORACLES
 
@@ -38,12 +38,23 @@ def op7_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
+
+
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    removed = F.aggregate(F.arrays_zip("span_begins", "span_ends"), F.lit(0).cast("long"), lambda a, x: a + x["span_ends"] - x["span_begins"])
+    return cleaned.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("span_begins").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op9_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(table(spark, sf_dir, "embeddings"), F.pmod("vec_id", F.lit(20)) == 0)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_byte_bpe, op3_source_mix, op4_language_id, op5_url_rules, op7_vector_dedup, op9_nearest_neighbours)}
+    return {f.__name__: f for f in (op1_byte_bpe, op3_source_mix, op4_language_id, op5_url_rules, op7_vector_dedup, op8_quality, op9_nearest_neighbours, op10_suffix_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
