@@ -10,6 +10,7 @@ for each item. Rows go by Spark's shuffle and are cut by checkpoints, so lost ex
 from __future__ import annotations
 
 import io
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -18,20 +19,29 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import cut, slices, utf8_column
+from textloom.llm.common import checkpoint_dir, partitions, slices, utf8_column
 
 
 def pack(*arrays: np.ndarray) -> bytes:
-    """Arrays of any types as compressed bytes."""
+    """One-dimensional arrays of numbers as compressed bytes, byte by byte of all values: bytes that are alike meet."""
     out = io.BytesIO()
     for a in arrays:
-        np.lib.format.write_array(out, np.ascontiguousarray(a), allow_pickle=False)
+        kind = a.dtype.str.encode()
+        out.write(bytes([len(kind)]) + kind + len(a).to_bytes(8, "little"))
+        out.write(np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.dtype.itemsize).T.tobytes())
     return zstandard.ZstdCompressor(level=1).compress(out.getvalue())
 
 
 def unpack(blob: bytes, n: int) -> list[np.ndarray]:
-    src = io.BytesIO(zstandard.ZstdDecompressor().decompress(blob))
-    return [np.lib.format.read_array(src, allow_pickle=False) for _ in range(n)]
+    raw, at, out = zstandard.ZstdDecompressor().decompress(blob), 0, []
+    for _ in range(n):
+        kind = np.dtype(raw[at + 1 : at + 1 + raw[at]].decode())
+        at += 1 + raw[at]
+        size = int.from_bytes(raw[at : at + 8], "little")
+        planes = np.frombuffer(raw, np.uint8, size * kind.itemsize, at + 8).reshape(kind.itemsize, size)
+        out.append(np.ascontiguousarray(planes.T).view(kind).reshape(size))
+        at += 8 + size * kind.itemsize
+    return out
 
 
 def _squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -50,15 +60,29 @@ def unsqueeze(column: pa.Array) -> list[bytes]:
     return [b"" if x is None else d.decompress(x) for x in column.to_pylist()]
 
 
+#: Bytes of a chunk in the table's files, about.
+CHUNK_BYTES = 3 << 20
+
+
+def sizes(docs: DataFrame) -> tuple[int, int]:
+    """(chunks, buckets) for a table: buckets are as many as shuffle partitions, chunks are small enough for a worker."""
+    return partitions(docs, CHUNK_BYTES), partitions(docs)
+
+
 def chunked(docs: DataFrame, chunks: int, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """(chunk, doc_id, row_id, body): documents dealt to chunks by a hash of id and text, texts compressed.
+    """(doc_id, row_id, chunk, body): documents dealt to chunks by a hash of id and text, texts compressed.
 
-    ``row_id`` tells rows of one document id apart. The table is cut by a checkpoint: every round reads it.
+    ``row_id`` tells rows of one document id apart. The table is written once, bucketed by chunk, to the
+    shared checkpoint folder: rounds read it in place, without dealing the texts out again.
     """
+    spark, n = docs.sparkSession, partitions(docs)
     own = docs.select(F.col(f"`{key}`").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row_id"), F.col(f"`{text}`").cast("string").alias("body"))
     own = own.select("doc_id", "row_id", F.pmod(F.xxhash64("doc_id", "body"), F.lit(chunks)).cast("int").alias("chunk"), "body")
     packed = own.mapInArrow(_squeeze, "doc_id long, row_id long, chunk int, body binary")
-    return cut(packed.repartition(chunks, "chunk"))
+    name = f"textloom_{uuid.uuid4().hex}"
+    path = f"{checkpoint_dir(spark).rstrip('/')}/{name}"
+    packed.repartition(n, "chunk").write.format("parquet").option("compression", "none").option("path", path).bucketBy(n, "chunk").saveAsTable(name)
+    return spark.table(name)
 
 
 Messages = Iterator[tuple[int, bytes]]

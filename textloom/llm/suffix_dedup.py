@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textloom.llm import exchange
-from textloom.llm.common import cut, mix64, partitions
+from textloom.llm.common import cut, mix64
 
 #: Bytes of a minimizer's seed; bytes of text that temporaries are made for at once.
 SEED, _PART = 20, 1 << 20
@@ -98,7 +98,7 @@ def _tell(length: int, buckets: int):
         h, d = h[order], ids[k[order]]
         first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, np.int64)
         if len(h):
-            yield from exchange.by_bucket((h[first] % np.uint64(buckets)).astype(np.int64), h[first], np.minimum.reduceat(d, first), np.maximum.reduceat(d, first))
+            yield from exchange.by_bucket((h[first] % np.uint64(buckets)).astype(np.int64), h[first], lo := np.minimum.reduceat(d, first), np.maximum.reduceat(d, first) - lo)
 
     return emit
 
@@ -107,7 +107,8 @@ def _shared(bucket: int, got: list[tuple[int, bytes]]):
     """Round one, buckets: which minimizers more than one document has, to all chunks that have them."""
     parts = [exchange.unpack(load, 3) for _, load in got]
     h = np.concatenate([p[0] for p in parts])
-    lo, hi = np.concatenate([p[1] for p in parts]), np.concatenate([p[2] for p in parts])
+    lo = np.concatenate([p[1] for p in parts])
+    hi = lo + np.concatenate([p[2] for p in parts])
     sender = np.repeat(np.arange(len(got)), [len(p[0]) for p in parts])
     order = np.argsort(h, kind="stable")
     h, lo, hi, sender = h[order], lo[order], hi[order], sender[order]
@@ -354,10 +355,10 @@ def remove_repeats(docs: DataFrame, length: int = 50, text: str = "text", key: s
     """(doc_id, row_id, kept, n_bytes, span_begins, span_ends) of every row: its text without repeated bytes."""
     if length <= SEED:
         raise ValueError(f"length has to be above {SEED}")
-    chunks = chunks or partitions(docs)
+    chunks, buckets = (chunks, chunks) if chunks else exchange.sizes(docs)
     table = exchange.chunked(docs, chunks, text, key)
-    shared = exchange.answer(exchange.ask(table, _tell(length, chunks)), _shared)
-    sent = cut(exchange.meet(table, shared, _send(length, chunks), "to int, sender int, load binary"))
+    shared = exchange.answer(exchange.ask(table, _tell(length, buckets)), _shared)
+    sent = cut(exchange.meet(table, shared, _send(length, buckets), "to int, sender int, load binary"))
     own = sent.filter("to < 0").select(F.col("sender").alias("to"), F.lit(-1).alias("sender"), "load")
     spans = exchange.answer(sent.filter("to >= 0"), _sort(length)).unionByName(own)
     return exchange.meet(table, spans, _finish, "doc_id long, row_id long, kept binary, n_bytes long, span_begins array<long>, span_ends array<long>")
