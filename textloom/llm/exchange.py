@@ -16,7 +16,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textloom.llm.common import checkpoint_dir, partitions, slices, utf8_column
@@ -69,22 +69,32 @@ def sizes(docs: DataFrame) -> tuple[int, int]:
     return partitions(docs, CHUNK_BYTES), partitions(docs)
 
 
-def chunked(docs: DataFrame, chunks: int, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """(doc_id, row_id, chunk, body): documents dealt to chunks by a hash of id and text, texts compressed.
+def chunked(docs: DataFrame, chunks: int, text: str = "text", key: str = "doc_id", carry: bool = False) -> DataFrame:
+    """(doc_id, row_id, rest, chunk, body): documents dealt to chunks by a hash of id and text, texts compressed.
 
-    ``row_id`` tells rows of one document id apart. The table is written once, bucketed by chunk, to the
-    shared checkpoint folder: rounds read it in place, without dealing the texts out again.
+    ``row_id`` tells rows of one document id apart. ``rest`` has all columns but the text if they are to be
+    carried along. The table is written once, bucketed by chunk, to the shared checkpoint folder: rounds
+    read it in place, without dealing the texts out again.
     """
     spark, n = docs.sparkSession, partitions(docs)
-    own = docs.select(F.col(f"`{key}`").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row_id"), F.col(f"`{text}`").cast("string").alias("body"))
-    own = own.select("doc_id", "row_id", F.pmod(F.xxhash64("doc_id", "body"), F.lit(chunks)).cast("int").alias("chunk"), "body")
-    packed = own.mapInArrow(_squeeze, "doc_id long, row_id long, chunk int, body binary")
+    other = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns) if c != text] if carry else []
+    rest = F.struct(*other) if other else F.lit(None).cast("int")
+    own = docs.select(F.col(f"`{key}`").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row_id"), rest.alias("rest"), F.col(f"`{text}`").cast("string").alias("body"))
+    own = own.select("doc_id", "row_id", "rest", F.pmod(F.xxhash64("doc_id", "body"), F.lit(chunks)).cast("int").alias("chunk"), "body")
+    packed = own.mapInArrow(_squeeze, f"doc_id long, row_id long, rest {dict(own.dtypes)['rest']}, chunk int, body binary")
     name = f"textloom_{uuid.uuid4().hex}"
     path = f"{checkpoint_dir(spark).rstrip('/')}/{name}"
     packed.repartition(n, "chunk").write.format("parquet").option("compression", "none").option("path", path).bucketBy(n, "chunk").saveAsTable(name)
     return spark.table(name)
 
 
+def restored(rows: DataFrame, docs: DataFrame, text: str, body: Column) -> DataFrame:
+    """The columns of ``docs``, of rows whose ``rest`` was carried along, with a new text."""
+    at = {c: f"rest.c{i}" for i, c in enumerate(docs.columns) if c != text}
+    kinds = dict(docs.dtypes)
+    return rows.select(*[(body if c == text else F.col(at[c])).cast(kinds[c]).alias(c) for c in docs.columns])
+
+
 Messages = Iterator[tuple[int, bytes]]
 
 

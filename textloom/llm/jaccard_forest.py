@@ -161,15 +161,36 @@ def _verify(similarity: float):
 
 
 def join(docs: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL, text: str = "text", key: str = "doc_id", chunks: int | None = None) -> DataFrame:
-    """(doc_id, row_id, n_links, class_id, kept) of every row.
+    """(doc_id, row_id, chunk, n_links, class_id, kept) of every row.
 
     ``n_links`` is the number of other rows at this similarity or more; ``class_id`` the smallest id that
     links lead to; one row of each class is ``kept``, the first of those with its id. Rows without an id
     keep themselves.
     """
-    chunks = chunks or exchange.sizes(docs)[0]
+    return join_table(exchange.chunked(docs, chunks or exchange.sizes(docs)[0], text, key), similarity, recall)
+
+
+def keep_one(docs: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """The documents with all their columns, one of each class. Texts are read where they lie, not dealt out again."""
+    table = exchange.chunked(docs, exchange.sizes(docs)[0], text, key, carry=True)
+    kept = join_table(table, similarity, recall).filter("kept").select("chunk", "row_id")
+
+    def use(group: tuple[pa.Scalar, ...], rows: pa.Table, chosen: pa.Table) -> pa.Table:
+        want = np.sort(chosen["row_id"].to_numpy())
+        own = rows["row_id"].to_numpy()
+        at = np.minimum(np.searchsorted(want, own), max(0, len(want) - 1))
+        part = rows.take(pa.array(np.flatnonzero(want[at] == own) if len(want) else own[:0]))
+        none = part["body"].is_null().to_pylist()
+        body = [None if z else b for b, z in zip(exchange.unsqueeze(part["body"]), none, strict=True)]
+        return pa.table({"rest": part["rest"], "body": pa.array(body, pa.binary())})
+
+    got = table.groupBy("chunk").cogroup(kept.groupBy("chunk")).applyInArrow(use, f"rest {dict(table.dtypes)['rest']}, body binary")
+    return exchange.restored(got, docs, text, F.when(F.col("body").isNotNull(), F.col("body").cast("string")))
+
+
+def join_table(table: DataFrame, similarity: float, recall: float) -> DataFrame:
+    """The join over a table made by exchange.chunked()."""
     depth = prefix_depth(similarity, recall)
-    table = exchange.chunked(docs, chunks, text, key)
     sets = cut(table.groupBy("chunk").applyInArrow(_sets(depth), "doc_id long, row_id long, chunk int, digest binary, shingles long, labels array<binary>"))
     full = sets.filter("digest is not null and doc_id is not null")
     # One row a set; its smallest id stands for it. Copies are counted before the shuffle.
@@ -201,8 +222,8 @@ def join(docs: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL
     per = cut(per.withColumn("component", F.coalesce("component", "set_id")))
     names = per.groupBy("component").agg(F.min("rep").alias("class_id"))
     per = per.join(names, "component").select(F.col("digest").alias("d"), (F.coalesce("links", F.lit(0)) + F.col("many") - 1).alias("n_links"), "class_id")
-    rows = full.select("doc_id", "row_id", "digest").join(per, F.col("digest") == F.col("d")).select("doc_id", "row_id", "n_links", "class_id")
+    rows = full.select("doc_id", "row_id", "chunk", "digest").join(per, F.col("digest") == F.col("d")).select("doc_id", "row_id", "chunk", "n_links", "class_id")
     first = F.row_number().over(Window.partitionBy("doc_id", "class_id").orderBy("row_id")) == 1
     rows = rows.withColumn("kept", (F.col("doc_id") == F.col("class_id")) & first)
-    rest = sets.filter("digest is null or doc_id is null").select("doc_id", "row_id", F.lit(0).cast("long").alias("n_links"), F.col("doc_id").alias("class_id"), F.lit(True).alias("kept"))
+    rest = sets.filter("digest is null or doc_id is null").select("doc_id", "row_id", "chunk", F.lit(0).cast("long").alias("n_links"), F.col("doc_id").alias("class_id"), F.lit(True).alias("kept"))
     return rows.unionByName(rest)

@@ -104,7 +104,7 @@ def _rounder(seed: int, level: int):
     """
 
     def settle(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["size", "slot", "id"], ascending=[False, True, True], na_position="last", kind="stable").reset_index(drop=True)
+        pdf = pdf.sort_values(["size", "slot"], ascending=[False, True], kind="stable").reset_index(drop=True)
         slot = pdf["slot"].to_numpy(np.int64)
         chance = (mix64(slot, seed * 1000 + level) >> np.uint64(11)).astype(np.float64) / 2.0**53
         rounded, held = pivotal(pdf["fraction"].to_numpy(np.float64), pdf["size"].to_numpy(np.float64), chance)
@@ -174,9 +174,12 @@ def mix(
     )
 
 
-def repeat_rows(docs: DataFrame, mixed: DataFrame, key: str = "doc_id") -> DataFrame:
-    """The documents, each as often as the mix takes it (joined by ``key``, which has to be unique)."""
-    copies = mixed.select(F.col(f"`{key}`").alias("mix_key"), F.col("copies").alias("mix_copies")).filter("mix_copies > 0")
-    joined = docs.join(copies, F.col(f"`{key}`").eqNullSafe(F.col("mix_key")))
-    return joined.withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("mix_copies").cast("int")))).select(*[F.col(f"`{c}`") for c in docs.columns])
-
+def repeat_rows(docs: DataFrame, text: str = "text", source: str = "source", key: str = "doc_id", **how) -> DataFrame:
+    """The documents with all their columns, each as often as the mix takes it; rows alike in id and text are taken alike."""
+    name = F.concat_ws(":", F.col(f"`{key}`").cast("string"), F.xxhash64(F.col(f"`{text}`")).cast("string"))
+    own = docs.withColumn("textloom_mix_key", name)
+    copies = mix(own, text, source, "textloom_mix_key", **how).select(F.col("textloom_mix_key").alias("textloom_mix_of"), "copies")
+    copies = copies.groupBy("textloom_mix_of").agg(F.max("copies").alias("textloom_copies")).filter("textloom_copies > 0")
+    joined = own.join(copies, F.col("textloom_mix_key") == F.col("textloom_mix_of"))
+    again = joined.withColumn("textloom_copy", F.explode(F.sequence(F.lit(1), F.col("textloom_copies").cast("int"))))
+    return again.select(*[F.col(f"`{c}`") for c in docs.columns])
