@@ -31,6 +31,8 @@ from textloom.llm.common import cut, mix64
 
 #: Bytes of a minimizer's seed; bytes of text that temporaries are made for at once.
 SEED, _PART = 20, 1 << 20
+#: Buckets of round two for each of round one: a suffix array's temporaries are many times its text.
+FINER = 4
 
 
 def _least_in_window(h: np.ndarray, w: int) -> np.ndarray:
@@ -358,7 +360,7 @@ def remove_repeats(docs: DataFrame, length: int = 50, text: str = "text", key: s
     chunks, buckets = (chunks, chunks) if chunks else exchange.sizes(docs)
     table = exchange.chunked(docs, chunks, text, key)
     shared = exchange.answer(exchange.ask(table, _tell(length, buckets)), _shared)
-    sent = cut(exchange.meet(table, shared, _send(length, buckets), "to int, sender int, load binary"))
+    sent = cut(exchange.meet(table, shared, _send(length, FINER * buckets), "to int, sender int, load binary"))
     own = sent.filter("to < 0").select(F.col("sender").alias("to"), F.lit(-1).alias("sender"), "load")
     spans = exchange.answer(sent.filter("to >= 0"), _sort(length)).unionByName(own)
     return exchange.meet(table, spans, _finish, "doc_id long, row_id long, kept binary, n_bytes long, span_begins array<long>, span_ends array<long>")
