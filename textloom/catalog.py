@@ -4,12 +4,294 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
+from textloom import testdata as T
+from textloom.functions import text as X
+from textloom.functions import times as D
+from textloom.functions import urls as U
+from textloom.operators import corpus as C
+from textloom.operators import semantics as S
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        _QUERIES[f.__name__] = f
+        if sql is not None:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+_PHASE_SQL = "CASE " + " ".join(f"WHEN d BETWEEN date '{a}' AND date '{b}' THEN '{n}'" for n, a, b in D.PHASES) + " END"
+_EVENT = f"ev AS (SELECT *, coalesce(publish_date, capture_date) AS d FROM docs), ph AS (SELECT *, coalesce({_PHASE_SQL}, 'outside_study') AS phase FROM ev)"
+_TIERED = """tiered AS (SELECT p.*, coalesce(r.tier, CASE p.collection_id WHEN 13559 THEN 'low' ELSE 'mixed' END) AS tier FROM ph p LEFT JOIN reg r ON p.host = r.domain)"""
+
+
+def _dated(spark: SparkSession, sf: str) -> DataFrame:
+    d = T.documents(spark, sf)
+    p, c = F.col("publish_date"), F.col("capture_date")
+    return d.withColumns({"d": D.event_time(p, c), "phase": D.event_phase(p, c)})
+
+
+def _tiered(spark: SparkSession, sf: str) -> DataFrame:
+    return C.with_tier(_dated(spark, sf), "host", T.registry(spark), F.when(F.col("collection_id") == 13559, "low").otherwise("mixed"))
+
+
+@query(r"""
+WITH a AS (SELECT page_id, lower(regexp_extract(url, '^([^:]+)://', 1)) AS scheme, lower(regexp_extract(url, '^[^:]+://([^/?#]*)', 1)) AS host,
+  regexp_extract(url, '^[^:]+://[^/?#]*([^?#]*)', 1) AS path, regexp_extract(url, '\?([^#]*)', 1) AS q FROM pages),
+b AS (SELECT *, list_sort(list_filter(string_split(q, '&'), lambda x: x <> '' AND NOT starts_with(lower(x), 'utm_') AND NOT regexp_matches(lower(x), '^(fbclid|gclid|msclkid)='))) AS params FROM a)
+SELECT page_id, scheme || '://' || host || CASE WHEN path = '' THEN '/' ELSE path END || CASE WHEN len(params) > 0 THEN '?' || array_to_string(params, '&') ELSE '' END AS canonical FROM b""")
+def url_canonical(spark, sf):
+    return T.read(spark, sf, "pages").select("page_id", U.canonical_url(F.col("url")).alias("canonical"))
+
+
+@query(r"SELECT regexp_replace(lower(regexp_extract(url, '^[^:]+://([^/?#]*)', 1)), '^www\.', '') AS host, count(*) AS n FROM pages GROUP BY 1")
+def host_normalize(spark, sf):
+    return T.read(spark, sf, "pages").groupBy(U.normalize_host(F.col("url")).alias("host")).agg(F.count("*").alias("n"))
+
+
+@query(r"""
+WITH h AS (SELECT page_id, string_split(regexp_replace(lower(regexp_extract(url, '^[^:]+://([^/?#]*)', 1)), '^www\.', ''), '.') AS p FROM pages)
+SELECT array_to_string(p[i:], '.') AS domain, count(*) AS n FROM (SELECT p, unnest(range(1, len(p))) AS i FROM h) GROUP BY 1""")
+def domain_chain(spark, sf):
+    return T.read(spark, sf, "pages").select(F.explode(U.domain_chain(U.normalize_host(F.col("url")))).alias("domain")).groupBy("domain").agg(F.count("*").alias("n"))
+
+
+@query(f"""WITH {T.DOCUMENTS}, {T.REGISTRY}, {_EVENT}, {_TIERED},
+phases AS (SELECT DISTINCT phase FROM tiered), grid AS (SELECT * FROM phases, (VALUES ('low'), ('authoritative'), ('mixed')) t(tier)),
+n AS (SELECT phase, tier, count(*) AS n_docs, count(DISTINCT host) AS n_hosts FROM tiered GROUP BY ALL)
+SELECT phase, tier, coalesce(n_docs, 0) AS n_docs, coalesce(n_hosts, 0) AS n_hosts, round(100.0 * coalesce(n_docs, 0) / sum(coalesce(n_docs, 0)) OVER (PARTITION BY phase), 6) AS share
+FROM grid LEFT JOIN n USING (phase, tier)""")
+def tier_by_phase_grid(spark, sf):
+    t = _tiered(spark, sf)
+    grid = t.select("phase").distinct().crossJoin(spark.createDataFrame([(x,) for x in S.TIERS], "tier string"))
+    n = t.groupBy("phase", "tier").agg(F.count("*").alias("n_docs"), F.count_distinct("host").alias("n_hosts"))
+    out = grid.join(n, ["phase", "tier"], "left").na.fill(0, ["n_docs", "n_hosts"])
+    return out.withColumn("share", F.round(100.0 * F.col("n_docs") / F.sum("n_docs").over(Window.partitionBy("phase")), 6))
+
+
+@query(f"WITH {T.DOCUMENTS}, {T.REGISTRY}, {_EVENT}, {_TIERED} SELECT tier, count(*) AS n FROM tiered GROUP BY 1")
+def tier_lookup(spark, sf):
+    return _tiered(spark, sf).groupBy("tier").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {T.DOCUMENTS}, {_EVENT} SELECT doc_id, strftime(d, '%Y-%m-%d') AS event_date, phase, CASE WHEN publish_date IS NOT NULL THEN 'publish_date' ELSE 'capture_timestamp' END AS date_source FROM ph")
+def event_time_policy(spark, sf):
+    return _dated(spark, sf).select("doc_id", F.date_format("d", "yyyy-MM-dd").alias("event_date"), "phase", D.date_source(F.col("publish_date"), F.col("capture_date")).alias("date_source"))
+
+
+@query(f"WITH {T.DOCUMENTS}, {_EVENT} SELECT phase, count(*) AS n, count(*) FILTER (fetch_status = 'ok') AS n_ok FROM ph GROUP BY 1")
+def phase_counts(spark, sf):
+    return _dated(spark, sf).groupBy("phase").agg(F.count("*").alias("n"), F.count_if(F.col("fetch_status") == "ok").alias("n_ok"))
+
+
+@query(f"WITH {T.DOCUMENTS}, {_EVENT} SELECT printf('%04d-W%02d', isoyear(d), week(d)) AS iso_week, count(*) AS n FROM ph GROUP BY 1")
+def iso_week_counts(spark, sf):
+    return _dated(spark, sf).groupBy(D.iso_week(F.col("d")).alias("iso_week")).agg(F.count("*").alias("n"))
+
+
+@query(f"""WITH {T.DOCUMENTS}, {_EVENT}, m AS (SELECT date_trunc('month', d) AS m FROM ph), s AS (SELECT unnest(generate_series(min(m), max(m), INTERVAL 1 MONTH)) AS m FROM m)
+SELECT strftime(s.m, '%Y-%m') AS month, count(m.m) AS n FROM s LEFT JOIN m ON s.m = m.m GROUP BY 1""")
+def month_spine(spark, sf):
+    m = _dated(spark, sf).select(F.trunc("d", "month").alias("m"))
+    spine = m.agg(F.min("m").alias("a"), F.max("m").alias("b")).select(F.explode(F.sequence("a", "b", F.expr("interval 1 month"))).alias("s"))
+    n = m.groupBy("m").agg(F.count("*").alias("n"))
+    return spine.join(n, F.col("s") == F.col("m"), "left").select(F.date_format("s", "yyyy-MM").alias("month"), F.coalesce("n", F.lit(0)).alias("n"))
+
+
+_RETAIN = f"""WITH {T.CAPTURES},
+v AS (SELECT *, CASE WHEN NOT starts_with(status, '2') THEN 'skipped_status' WHEN lower(trim(split_part(mimetype, ';', 1))) NOT IN ('text/html', 'application/xhtml+xml') THEN 'skipped_mimetype' END AS valid FROM caps),
+c AS (SELECT *, valid IS NULL AND (digest IS NULL OR row_number() OVER (PARTITION BY phase, page, digest, valid IS NULL ORDER BY ordinal) = 1) AS cand FROM v),
+k AS (SELECT *, sum(cand::INT) OVER (PARTITION BY phase, page ORDER BY ordinal) AS place FROM c),
+o AS (SELECT *, coalesce(cand AND place <= 2, false) AS kept FROM k),
+f AS (SELECT *, max(kept::INT) OVER (PARTITION BY phase, page, digest, valid IS NULL ORDER BY ordinal ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS dup FROM o),
+r AS (SELECT ordinal, phase, coalesce(valid, CASE WHEN kept THEN 'kept' WHEN digest IS NOT NULL AND dup = 1 THEN 'skipped_dup_digest' ELSE 'skipped_dup_url' END) AS outcome FROM f)"""
+
+
+@query(_RETAIN + " SELECT ordinal, outcome FROM r")
+def capture_retention(spark, sf):
+    return C.retain_captures(T.captures(spark, sf), 2).select("ordinal", "outcome")
+
+
+@query(_RETAIN + " SELECT phase, outcome, count(*) AS n FROM r GROUP BY ALL")
+def capture_retention_stats(spark, sf):
+    return C.retain_captures(T.captures(spark, sf), 2).groupBy("phase", "outcome").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {T.CAPTURES} SELECT phase, page, ordinal FROM caps QUALIFY row_number() OVER (PARTITION BY phase, page ORDER BY ordinal, url) <= 2")
+def captures_per_url_phase(spark, sf):
+    return C.earliest_per(T.captures(spark, sf), ["phase", "page"], ["ordinal", "url"], 2).select("phase", "page", "ordinal")
+
+
+@query(r"SELECT doc_id, len(list_filter(regexp_split_to_array(trim(text), '\s+'), lambda x: x <> '')) AS n_words, length(text) AS n_code_points, len(regexp_extract_all(text, '\d+(?:[.,]\d+)*')) AS n_numbers FROM documents")
+def text_features(spark, sf):
+    t = F.col("text")
+    return T.read(spark, sf, "documents").select("doc_id", X.word_count(t).alias("n_words"), F.char_length(t).alias("n_code_points"), F.size(X.numbers(t)).alias("n_numbers"))
+
+
+@query(r"""WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+(?:[''’][\p{L}\p{N}]+)*') AS w FROM documents)
+SELECT doc_id, CASE WHEN len(w) = 0 THEN 0 WHEN len(w) < 5 THEN 1 ELSE len(list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')))) END AS n_shingles FROM w""")
+def shingle_counts(spark, sf):
+    return T.read(spark, sf, "documents").select("doc_id", F.size(X.shingles(F.col("text"))).alias("n_shingles"))
+
+
+@query(r"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS i FROM documents),
+n AS (SELECT *, replace(lower(trim(regexp_replace(line, '\s+', ' ', 'g'))), 'ß', 'ss') AS norm, len(list_filter(regexp_split_to_array(trim(line), '\s+'), lambda x: x <> '')) AS w FROM l),
+k AS (SELECT *, row_number() OVER (PARTITION BY doc_id, norm ORDER BY i) AS seen FROM n)
+SELECT doc_id, count(*) FILTER (w >= 20 AND seen > 1) AS n_removed FROM k GROUP BY 1""")
+def repeated_blocks(spark, sf):
+    lines = lambda c: F.size(F.filter(F.split(c, "\n"), lambda x: X.word_count(x) >= 20))
+    d = T.read(spark, sf, "documents")
+    return d.select("doc_id", (lines(F.col("text")) - lines(X.without_repeated_blocks(F.col("text")))).cast("long").alias("n_removed"))
+
+
+_HASH = r"sha256(replace(lower(trim(regexp_replace(text, '\s+', ' ', 'g'))), 'ß', 'ss'))"
+
+
+@query(f"WITH {T.DOCUMENTS} SELECT doc_id, min(doc_id) OVER (PARTITION BY collection_id, host, language, {_HASH}) AS representative FROM docs")
+def exact_duplicates(spark, sf):
+    return C.exact_duplicates(T.documents(spark, sf), ["collection_id", "host", "language"]).select("doc_id", "representative")
+
+
+@query(f"WITH g AS (SELECT lang, count(*) AS k FROM documents GROUP BY lang, {_HASH}) SELECT lang, sum(k)::BIGINT AS n, count(*) AS n_groups, max(k) AS largest, round(1 - count(*) / sum(k), 6) AS redundancy FROM g GROUP BY 1")
+def redundancy_by_language(spark, sf):
+    g = T.read(spark, sf, "documents").groupBy("lang", X.content_hash(F.col("text")).alias("h")).agg(F.count("*").alias("k"))
+    return g.groupBy("lang").agg(F.sum("k").alias("n"), F.count("*").alias("n_groups"), F.max("k").alias("largest"), F.round(1 - F.count("*") / F.sum("k"), 6).alias("redundancy"))
+
+
+@query("SELECT lang, count(*) AS n, round(100.0 * count(*) / sum(count(*)) OVER (), 6) AS percent FROM documents GROUP BY 1")
+def language_share(spark, sf):
+    return C.value_shares(T.read(spark, sf, "documents"), "lang")
+
+
+@query(f"WITH {T.DOCUMENTS} SELECT fetch_status, count(*) AS n, round(100.0 * count(*) / sum(count(*)) OVER (), 6) AS percent FROM docs GROUP BY 1")
+def fetch_health(spark, sf):
+    return C.value_shares(T.documents(spark, sf), "fetch_status")
+
+
+@query("SELECT round(avg(n_chars), 6) AS mean, median(n_chars) AS median, round(stddev_samp(n_chars), 6) AS std, min(n_chars) AS least, max(n_chars) AS most FROM documents")
+def length_stats(spark, sf):
+    n = F.col("n_chars")
+    return T.read(spark, sf, "documents").agg(F.round(F.avg(n), 6).alias("mean"), F.median(n).alias("median"), F.round(F.stddev_samp(n), 6).alias("std"), F.min(n).alias("least"), F.max(n).alias("most"))
+
+
+@query(f"WITH {T.DOCUMENTS}, {T.REGISTRY}, {_EVENT}, {_TIERED} SELECT tier, count(*) AS n, round(avg(length(text)), 6) AS mean, quantile_cont(length(text), 0.25) AS q1, quantile_cont(length(text), 0.5) AS q2, quantile_cont(length(text), 0.75) AS q3 FROM tiered GROUP BY 1")
+def length_describe_by_tier(spark, sf):
+    n = F.char_length("text")
+    return _tiered(spark, sf).groupBy("tier").agg(F.count("*").alias("n"), F.round(F.avg(n), 6).alias("mean"), F.percentile(n, 0.25).alias("q1"), F.percentile(n, 0.5).alias("q2"), F.percentile(n, 0.75).alias("q3"))
+
+
+@query("SELECT doc_id, n_chars FROM documents WHERE n_chars < (SELECT avg(n_chars) + stddev_samp(n_chars) FROM documents)")
+def outlier_trim(spark, sf):
+    d = T.read(spark, sf, "documents").select("doc_id", "n_chars")
+    bound = d.agg((F.avg("n_chars") + F.stddev_samp("n_chars")).alias("bound"))  # one row
+    return d.crossJoin(F.broadcast(bound)).filter("n_chars < bound").drop("bound")
+
+
+@query(f"WITH {T.DOCUMENTS}, {T.REGISTRY}, {_EVENT}, {_TIERED} SELECT phase, count(*) FILTER (tier = 'low') AS low, count(*) FILTER (tier = 'authoritative') AS authoritative, count(*) FILTER (tier = 'mixed') AS mixed FROM tiered GROUP BY 1")
+def phase_tier_pivot(spark, sf):
+    return _tiered(spark, sf).groupBy("phase").pivot("tier", list(S.TIERS)).count().na.fill(0)
+
+
+@query(f"WITH {T.DOCUMENTS}, {_EVENT} SELECT strftime(date_trunc('week', d), '%Y-%m-%d') AS week, count(*) AS n FROM ph GROUP BY 1")
+def week_counts(spark, sf):
+    return _dated(spark, sf).groupBy(F.date_format(F.date_trunc("week", "d"), "yyyy-MM-dd").alias("week")).agg(F.count("*").alias("n"))
+
+
+@query(r"SELECT lower(regexp_extract(url, '^[^:]+://([^/?#]*)', 1)) AS domain, count(*) AS n FROM pages GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 20")
+def top_domains(spark, sf):
+    return T.read(spark, sf, "pages").groupBy(F.lower(F.regexp_extract("url", r"^[^:]+://([^/?#]*)", 1)).alias("domain")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "domain").limit(20)
+
+
+@query(f"""WITH {T.CHUNKS}, g AS (SELECT * FROM (SELECT DISTINCT month FROM chunks), (VALUES ('low'), ('authoritative'), ('mixed')) t(tier)),
+u AS (SELECT month, tier, host, topic, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) AS u FROM chunks),
+e AS (SELECT month, tier, topic, unnest(u) AS x, unnest(range(1, len(u) + 1)) AS dim FROM u),
+s AS (SELECT month, tier, dim, sum(x) AS s FROM e GROUP BY ALL), q AS (SELECT month, tier, sum(s * s) AS q FROM s GROUP BY ALL),
+b AS (SELECT month, tier, count(*) AS n, count(DISTINCT host) AS hosts, count(*) FILTER (topic >= 0) AS a FROM u GROUP BY ALL),
+t AS (SELECT month, tier, topic, count(*) AS k FROM u WHERE topic >= 0 GROUP BY ALL), p AS (SELECT month, tier, k / sum(k) OVER (PARTITION BY month, tier) AS p FROM t),
+h AS (SELECT month, tier, -sum(p * log2(p)) AS h FROM p GROUP BY ALL),
+ts AS (SELECT month, tier, topic, dim, sum(x) AS s FROM e WHERE topic >= 0 GROUP BY ALL), tn AS (SELECT month, tier, topic, sqrt(sum(s * s)) AS norm FROM ts GROUP BY ALL), nn AS (SELECT month, tier, sum(norm) AS norms FROM tn GROUP BY ALL)
+SELECT month, tier, coalesce(n, 0) AS n_chunks, coalesce(hosts, 0) AS n_hosts, CASE WHEN n IS NULL THEN 'empty' WHEN n < 5 THEN 'too_small' ELSE 'ok' END AS status,
+ round(CASE WHEN n >= 5 THEN greatest(0.0, least(2.0, 1 - (q - n) / (n * (n - 1)))) END, 6) AS dispersion, round(CASE WHEN n >= 5 AND a >= 5 THEN abs(h) END, 6) AS entropy_bits,
+ round(CASE WHEN n >= 5 AND a >= 5 THEN pow(2.0, h) END, 6) AS effective_topics, round(CASE WHEN n >= 5 AND a >= 5 THEN norms / a END, 6) AS cohesion
+FROM g LEFT JOIN b USING (month, tier) LEFT JOIN q USING (month, tier) LEFT JOIN h USING (month, tier) LEFT JOIN nn USING (month, tier)""")
+def tier_metrics_month(spark, sf):
+    return S.tier_metrics(T.chunks(spark, sf), "month")
+
+
+_NEIGHBOURS = f"""WITH {T.CHUNKS}, u AS (SELECT *, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) AS u FROM chunks),
+j AS (SELECT a.point_id, b.point_id AS ref_id, round(greatest(0.0, least(2.0, 1 - list_dot_product(a.u, b.u))), 6) AS d FROM u a JOIN u b ON a.month = b.month AND b.tier = 'authoritative' AND a.host <> b.host),
+m AS (SELECT point_id, count(*) AS n, min(struct_pack(d := d, ref_id := ref_id)) AS best FROM j GROUP BY 1),
+r AS (SELECT c.point_id, c.month, c.tier, coalesce(n, 0) AS n_reference, CASE WHEN n >= 3 THEN best.d END AS distance, CASE WHEN n >= 3 THEN best.ref_id END AS neighbour, CASE WHEN n >= 3 THEN 'ok' ELSE 'insufficient' END AS status FROM chunks c LEFT JOIN m USING (point_id))"""
+
+
+@query(_NEIGHBOURS + " SELECT * FROM r")
+def authoritative_neighbours(spark, sf):
+    return S.authoritative_neighbours(T.chunks(spark, sf), "month")
+
+
+@query(_NEIGHBOURS + " SELECT month, tier, count(*) AS n, count(distance) AS n_matched, round(avg(distance), 6) AS mean, round(median(distance), 6) AS median, round(quantile_cont(distance, 0.9), 6) AS p90 FROM r GROUP BY ALL")
+def neighbour_summary(spark, sf):
+    return S.neighbour_summary(S.authoritative_neighbours(T.chunks(spark, sf), "month"), "month")
+
+
+_TERMS = r"t AS (SELECT lang, unnest(regexp_extract_all(lower(text), '[a-z]{3,}')) AS term FROM documents), n AS (SELECT lang, term, count(*) AS n FROM t GROUP BY ALL)"
+
+
+@query(f"WITH {_TERMS} SELECT lang, term, n, row_number() OVER (PARTITION BY lang ORDER BY n DESC, term) AS rank FROM n QUALIFY rank <= 10")
+def top_words(spark, sf):
+    return S.top_terms(S.term_counts(T.read(spark, sf, "documents"), "lang"), "lang").select("lang", "term", "n", "rank")
+
+
+_SLICES = r"""t AS (SELECT source AS node, CAST(substr(source, 4) AS INTEGER) % 4 AS win, unnest(regexp_extract_all(lower(text), '[a-z]{3,}')) AS term FROM documents),
+n AS (SELECT node, win, term, count(*) AS k FROM t GROUP BY ALL), p AS (SELECT node, win, term, k / sum(k) OVER (PARTITION BY node) AS p FROM n),
+spine AS (SELECT win, lead(win) OVER (ORDER BY win) AS nxt FROM (SELECT DISTINCT win FROM p)), norm AS (SELECT node, sqrt(sum(p * p)) AS norm FROM p GROUP BY 1),
+d AS (SELECT a.node AS source, b.node AS target, sum(a.p * b.p) AS dot FROM p a JOIN spine s USING (win) JOIN p b ON b.win = s.nxt AND a.term = b.term GROUP BY ALL),
+edges AS (SELECT source, target, round(dot / (x.norm * y.norm), 6) AS similarity FROM d JOIN norm x ON x.node = source JOIN norm y ON y.node = target WHERE round(dot / (x.norm * y.norm), 6) >= 0.45)"""
+
+
+def _slices(spark: SparkSession, sf: str) -> DataFrame:
+    d = T.read(spark, sf, "documents").select(F.col("source").alias("node"), "text")
+    return S.term_counts(d, "node").withColumn("window", F.expr("cast(substr(node, 4) as int) % 4"))
+
+
+@query(f"WITH {_SLICES} SELECT * FROM edges")
+def topic_edges_cosine(spark, sf):
+    return S.topic_edges(_slices(spark, sf), 0.45)
+
+
+@query(f"WITH {_SLICES}, f AS (SELECT * FROM edges QUALIFY row_number() OVER (PARTITION BY target ORDER BY similarity DESC, source) = 1) SELECT source, target, similarity, row_number() OVER (PARTITION BY source ORDER BY similarity DESC, target) = 1 AS continues FROM f")
+def primary_parents(spark, sf):
+    return S.primary_parents(S.topic_edges(_slices(spark, sf), 0.45))
+
+
+@query("SELECT d.doc_id FROM documents d WHERE d.doc_id NOT IN (SELECT doc_id FROM labels)")
+def resume_antijoin(spark, sf):
+    return C.resume(T.read(spark, sf, "documents"), T.read(spark, sf, "labels"), "doc_id").select("doc_id")
+
+
+@query("SELECT lang, count(*) AS n FROM (SELECT lang FROM documents WHERE lang NOT IN ('en', 'fr') UNION ALL SELECT lang FROM documents WHERE lang IN ('en', 'fr') AND doc_id % 2 = 0) GROUP BY 1")
+def window_overwrite_union(spark, sf):
+    d = T.read(spark, sf, "documents").select("doc_id", "lang")
+    return C.overwrite_windows(d, d.filter("doc_id % 2 = 0"), "lang", ["en", "fr"]).groupBy("lang").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {T.DOCUMENTS} SELECT count(*) AS total, count(*) FILTER (fetch_status = 'ok') AS ok, round(count(*) FILTER (fetch_status <> 'ok') / count(*), 6) AS failed_fraction FROM docs")
+def quality_gates(spark, sf):
+    return C.quality_gates(T.documents(spark, sf))
+
+
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
