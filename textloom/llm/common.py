@@ -36,6 +36,8 @@ def partitions(df: DataFrame, bytes_each: int = 32 << 20) -> int:
     """Shuffle partitions for ``df``: the session's number, more if the scan's estimated size asks for it."""
     least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size > 1 << 56:  # Spark has no estimate
+        return least
     return max(least, min(size // bytes_each, 50_000))
 
 

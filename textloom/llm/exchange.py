@@ -23,10 +23,15 @@ from textloom.llm.common import checkpoint_dir, partitions, slices, utf8_column
 
 
 def pack(*arrays: np.ndarray) -> bytes:
-    """One-dimensional arrays of numbers as compressed bytes, byte by byte of all values: bytes that are alike meet."""
+    """One-dimensional arrays of numbers as compressed bytes, byte by byte of all values: bytes that are alike meet.
+
+    Sorted unsigned integers are stored as differences.
+    """
     out = io.BytesIO()
     for a in arrays:
         kind = a.dtype.str.encode()
+        if a.dtype == np.uint64 and len(a) > 1 and (a[1:] >= a[:-1]).all():
+            kind, a = b"+" + kind, np.diff(a, prepend=np.uint64(0))
         out.write(bytes([len(kind)]) + kind + len(a).to_bytes(8, "little"))
         out.write(np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.dtype.itemsize).T.tobytes())
     return zstandard.ZstdCompressor(level=1).compress(out.getvalue())
@@ -35,11 +40,13 @@ def pack(*arrays: np.ndarray) -> bytes:
 def unpack(blob: bytes, n: int) -> list[np.ndarray]:
     raw, at, out = zstandard.ZstdDecompressor().decompress(blob), 0, []
     for _ in range(n):
-        kind = np.dtype(raw[at + 1 : at + 1 + raw[at]].decode())
+        name = raw[at + 1 : at + 1 + raw[at]].decode()
+        kind = np.dtype(name.lstrip("+"))
         at += 1 + raw[at]
         size = int.from_bytes(raw[at : at + 8], "little")
         planes = np.frombuffer(raw, np.uint8, size * kind.itemsize, at + 8).reshape(kind.itemsize, size)
-        out.append(np.ascontiguousarray(planes.T).view(kind).reshape(size))
+        value = np.ascontiguousarray(planes.T).view(kind).reshape(size)
+        out.append(np.cumsum(value, dtype=kind) if name[0] == "+" else value)
         at += 8 + size * kind.itemsize
     return out
 

@@ -64,7 +64,7 @@ def minimizers(raw: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np
     begin = np.concatenate([[0], np.flatnonzero(least[1:] != least[:-1]) + 1])
     place = (least[begin] & np.uint64(0xFFFFFFFF)).astype(np.int64)
     windows = np.diff(np.append(begin, len(least)))
-    return h[place], begin, windows
+    return h[place] >> np.uint64(8), begin, windows  # 56 bits tell seeds apart well enough, and more would only travel
 
 
 def _stretches(length: int, bodies: list[bytes]):
