@@ -12,6 +12,7 @@ from textloom.functions import text as X
 from textloom.functions import times as D
 from textloom.functions import urls as U
 from textloom.operators import corpus as C
+from textloom.operators import evolution as E
 from textloom.operators import semantics as S
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -273,6 +274,52 @@ def primary_parents(spark, sf):
     return S.primary_parents(S.topic_edges(_slices(spark, sf), 0.45))
 
 
+@query(f"""WITH {T.DOCUMENTS}, {_EVENT}, s AS (SELECT min(d) AS a, max(d) AS b FROM ph), days AS (SELECT CAST(unnest(generate_series(a, b, INTERVAL 1 DAY)) AS DATE) AS e, b FROM s),
+frames AS (SELECT DISTINCT e FROM days WHERE dayofweek(e) = 0 OR e = b)
+SELECT strftime(e, '%Y-%m-%d') AS frame_end, count(*) AS n, count(DISTINCT host) AS n_hosts FROM frames JOIN ph ON d BETWEEN e - 27 AND e GROUP BY 1""")
+def trailing_window_counts(spark, sf):
+    f = E.trailing_frames(_dated(spark, sf).select("d", "host"), "d")
+    return f.groupBy(F.date_format("frame_end", "yyyy-MM-dd").alias("frame_end")).agg(F.count("*").alias("n"), F.count_distinct("host").alias("n_hosts"))
+
+
+@query(f"WITH {_SLICES}, m AS (SELECT a.node AS source, b.node AS target, sum(least(a.p, b.p)) AS lo FROM p a JOIN spine s USING (win) JOIN p b ON b.win = s.nxt AND a.term = b.term GROUP BY ALL) SELECT source, target, round(lo / (2 - lo), 6) AS similarity FROM m")
+def topic_edges_jaccard(spark, sf):
+    return E.shared_mass(_slices(spark, sf))
+
+
+@query(f"""WITH {_SLICES}, pairs AS (SELECT source, target, round(dot / (x.norm * y.norm), 6) AS sim FROM d JOIN norm x ON x.node = source JOIN norm y ON y.node = target),
+i AS (SELECT target AS node, max(sim) AS best, count(*) FILTER (sim >= 0.45) AS k FROM pairs GROUP BY 1), o AS (SELECT source AS node, count(*) FILTER (sim >= 0.45) AS k FROM pairs GROUP BY 1),
+nodes AS (SELECT DISTINCT node, win FROM p), ends AS (SELECT min(win) AS lo, max(win) AS hi FROM p)
+SELECT node, win AS "window", coalesce(i.k, 0) AS in_degree, coalesce(o.k, 0) AS out_degree, CASE WHEN win > lo THEN round(1 - coalesce(best, 0), 6) END AS novelty,
+ CASE WHEN win > lo THEN coalesce(i.k, 0) = 0 END AS birth, CASE WHEN win < hi THEN coalesce(o.k, 0) = 0 END AS death FROM nodes LEFT JOIN i USING (node) LEFT JOIN o USING (node), ends""")
+def topic_events(spark, sf):
+    return E.topic_events(_slices(spark, sf), 0.45)
+
+
+@query(r"""WITH t AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '[a-z]{3,}')) AS term FROM documents), n AS (SELECT count(*) AS n FROM documents),
+v AS (SELECT term, count(*) AS df FROM t GROUP BY 1 HAVING df >= 3 AND df <= 0.8 * (SELECT n FROM n) ORDER BY df DESC, term LIMIT 60), h AS (SELECT t.* FROM t JOIN v USING (term)),
+c AS (SELECT x.term AS a, y.term AS b, count(*) AS together FROM h x JOIN h y ON x.doc_id = y.doc_id AND x.term < y.term GROUP BY ALL HAVING together >= 3)
+SELECT a, b, together, round(ln(together * n / (va.df * vb.df)) / -ln(together / n), 6) AS npmi FROM c JOIN v va ON va.term = a JOIN v vb ON vb.term = b, n
+WHERE together < n AND round(ln(together * n / (va.df * vb.df)) / -ln(together / n), 6) >= 0.15""")
+def term_field(spark, sf):
+    return E.term_field(T.read(spark, sf, "documents").select("doc_id", "text"), "doc_id", 60)
+
+
+_STARTS = ", ".join(f"(date '{a}', '{n}')" for n, a, _ in D.PHASES)
+
+
+@query(f"WITH {T.DOCUMENTS}, {_EVENT}, f AS (SELECT DISTINCT last_day(d) AS e FROM ph), ev2(event_date, event) AS (VALUES {_STARTS}) SELECT strftime(e, '%Y-%m-%d') AS frame_end, event, row_number() OVER (PARTITION BY e ORDER BY event_date DESC, event) AS rank FROM f JOIN ev2 ON event_date <= e QUALIFY rank <= 2")
+def recent_milestones(spark, sf):
+    events = spark.createDataFrame([(str(a), n) for n, a, _ in D.PHASES], "event_date string, event string").withColumn("event_date", F.to_date("event_date"))
+    frames = _dated(spark, sf).select(F.last_day("d").alias("e")).distinct()
+    return E.recent_events(frames, events, "e", 2).select(F.date_format("e", "yyyy-MM-dd").alias("frame_end"), "event", "rank")
+
+
+@query(f"WITH {T.DOCUMENTS}, {T.REGISTRY}, {_EVENT}, {_TIERED} SELECT source, tier, count(*) AS n FROM tiered GROUP BY source, tier QUALIFY row_number() OVER (PARTITION BY source ORDER BY count(*) DESC, tier) = 1")
+def mode_tier(spark, sf):
+    return E.most_frequent(_tiered(spark, sf), "source", "tier")
+
+
 @query("SELECT d.doc_id FROM documents d WHERE d.doc_id NOT IN (SELECT doc_id FROM labels)")
 def resume_antijoin(spark, sf):
     return C.resume(T.read(spark, sf, "documents"), T.read(spark, sf, "labels"), "doc_id").select("doc_id")
