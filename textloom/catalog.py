@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from textloom import testdata as T
+from textloom.functions import html as H
 from textloom.functions import text as X
 from textloom.functions import times as D
 from textloom.functions import urls as U
@@ -320,6 +321,12 @@ def mode_tier(spark, sf):
     return E.most_frequent(_tiered(spark, sf), "source", "tier")
 
 
+@query()
+def html_extract(spark, sf):
+    e = T.read(spark, sf, "pages").select("page_id", H.extract(F.col("html")).alias("e"))
+    return e.select("page_id", "e.title", "e.mode", F.char_length("e.text").alias("n_chars"))
+
+
 @query("SELECT d.doc_id FROM documents d WHERE d.doc_id NOT IN (SELECT doc_id FROM labels)")
 def resume_antijoin(spark, sf):
     return C.resume(T.read(spark, sf, "documents"), T.read(spark, sf, "labels"), "doc_id").select("doc_id")
