@@ -9,7 +9,7 @@ from textloom.functions import text, times, urls
 from textloom.operators import corpus
 
 DIR = "/root/testdata/sf0.001"
-TABLES = "documents embeddings pages labels".split()
+TABLES = "documents embeddings pages labels nation customer orders".split()
 
 
 @pytest.mark.parametrize("name", sorted(catalog.oracle_sql()))

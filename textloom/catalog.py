@@ -13,7 +13,9 @@ from textloom.functions import text as X
 from textloom.functions import times as D
 from textloom.functions import urls as U
 from textloom.operators import corpus as C
+from textloom.operators import dedupe as DD
 from textloom.operators import evolution as E
+from textloom.operators import places as P
 from textloom.operators import semantics as S
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -343,6 +345,75 @@ def quality_gates(spark, sf):
     return C.quality_gates(T.documents(spark, sf))
 
 
+_RESOLVED = f"""WITH {T.PLACES},
+ cand AS (SELECT m.mention_id, p.*, 0 AS alt FROM mentions m JOIN places p ON p.name = lower(trim(m.surface)) UNION ALL SELECT m.mention_id, p.*, 1 FROM mentions m JOIN places p ON p.alternate = lower(trim(m.surface))),
+ pick AS (SELECT * FROM cand QUALIFY alt = min(alt) OVER (PARTITION BY mention_id)),
+ ctx AS (SELECT m.mention_id, 'C' || n_nationkey AS code FROM mentions m JOIN nation ON contains(lower(m.context), lower(n_name))),
+ fit AS (SELECT p.*, EXISTS (SELECT 1 FROM ctx WHERE ctx.mention_id = p.mention_id AND code = p.cc) AS inside FROM pick p),
+ pool AS (SELECT * FROM fit QUALIFY inside = bool_or(inside) OVER (PARTITION BY mention_id)),
+ two AS (SELECT *, row_number() OVER w AS r, count(*) OVER (PARTITION BY mention_id) AS k, ln(greatest(population, 1)) AS a, ln(greatest(lead(population) OVER w, 1)) AS b FROM pool WINDOW w AS (PARTITION BY mention_id ORDER BY population DESC, place_id)),
+ res AS (SELECT m.*, t.place_id, t.cc, t.lat, t.lon, CASE WHEN k = 1 THEN 1.0::DOUBLE WHEN k > 1 THEN least(1.0::DOUBLE, CASE WHEN a <= b THEN 0.3::DOUBLE ELSE greatest(0.3::DOUBLE, least(0.95::DOUBLE, (a - b) / greatest(a, 1.0::DOUBLE))) END
+   + CASE WHEN m.mention_id IN (SELECT mention_id FROM ctx) THEN 0.15::DOUBLE ELSE 0::DOUBLE END) END AS confidence FROM mentions m LEFT JOIN two t ON t.mention_id = m.mention_id AND r = 1),
+ col AS (SELECT article_id, place_id, min_by(surface, mention_id) AS toponym, any_value(cc) AS cc, any_value(lat) AS lat, any_value(lon) AS lon, count(*) AS n, avg(confidence) AS confidence FROM res WHERE place_id IS NOT NULL GROUP BY ALL)"""
+
+
+def _resolved(spark: SparkSession, sf: str) -> DataFrame:
+    return P.resolve(T.mentions(spark, sf), T.places(spark, sf), T.countries(spark, sf))
+
+
+def _collapsed(spark: SparkSession, sf: str) -> DataFrame:
+    return P.collapse(_resolved(spark, sf), "article_id", "mention_id")
+
+
+@query(_RESOLVED + " SELECT mention_id, place_id, round(confidence, 6) AS confidence FROM res")
+def place_resolution(spark, sf):
+    return _resolved(spark, sf).select("mention_id", "place.place_id", F.round("confidence", 6).alias("confidence"))
+
+
+@query(_RESOLVED + " SELECT article_id, place_id, toponym, n AS mention_count, round(confidence, 6) AS confidence FROM col")
+def mention_collapse(spark, sf):
+    return _collapsed(spark, sf).select("article_id", "place_id", "toponym", "mention_count", F.round("confidence", 6).alias("confidence"))
+
+
+@query(_RESOLVED + """, s AS (SELECT article_id, count(*) AS n_places, sum(n) AS w, sum(n * cos(radians(lat)) * cos(radians(lon))) AS x, sum(n * cos(radians(lat)) * sin(radians(lon))) AS y, sum(n * sin(radians(lat))) AS z FROM col GROUP BY 1),
+c AS (SELECT *, degrees(asin(greatest(-1.0, least(1.0, z / greatest(sqrt(x * x + y * y + z * z), 1e-12))))) AS clat, degrees(atan2(y, x)) AS clon FROM s),
+d AS (SELECT article_id, sum(n * 2 * 6371.0 * asin(sqrt(least(1.0, pow(sin(radians(lat - clat) / 2), 2) + cos(radians(clat)) * cos(radians(lat)) * pow(sin(radians(lon - clon) / 2), 2))))) AS far FROM col JOIN c USING (article_id) GROUP BY 1)
+SELECT article_id, n_places, round(clat, 4) AS centroid_lat, round(clon, 4) AS centroid_lon, round(CASE WHEN n_places = 1 THEN 0.0 ELSE far / w END, 3) AS dispersion_km FROM c JOIN d USING (article_id)""")
+def centroid_dispersion(spark, sf):
+    c = P.centroids(_collapsed(spark, sf), "article_id")
+    return c.select("article_id", "n_places", F.round("centroid_lat", 4).alias("centroid_lat"), F.round("centroid_lon", 4).alias("centroid_lon"), F.round("dispersion_km", 3).alias("dispersion_km"))
+
+
+@query(_RESOLVED + ", k AS (SELECT article_id, cc, sum(n) AS k FROM col GROUP BY ALL), p AS (SELECT *, k / sum(k) OVER (PARTITION BY article_id) AS p FROM k) SELECT article_id, round(abs(sum(p * log2(p))), 6) AS entropy_bits, count(*) AS n_countries FROM p GROUP BY 1")
+def country_entropy(spark, sf):
+    return P.country_entropy(_collapsed(spark, sf), "article_id").select("article_id", F.round(F.abs("entropy_bits"), 6).alias("entropy_bits"), "n_countries")
+
+
+@query(_RESOLVED + """, pr AS (SELECT DISTINCT article_id, article_id % 3 AS tier, cc FROM col), m AS (SELECT tier, count(DISTINCT article_id) AS n_mapped FROM pr GROUP BY 1)
+SELECT tier, cc AS country_code, count(*) AS n_articles, any_value(n_mapped) AS n_mapped, round(100.0 * count(*) / any_value(n_mapped), 6) AS percent FROM pr JOIN m USING (tier) GROUP BY ALL""")
+def country_attention(spark, sf):
+    docs = T.mentions(spark, sf).select("article_id", (F.col("article_id") % 3).alias("tier")).distinct()
+    return P.attention(docs, _collapsed(spark, sf), "article_id", ["tier"]).select("tier", "country_code", "n_articles", "n_mapped", F.round("percent", 6).alias("percent"))
+
+
+@query()
+def dedupe_decisions(spark, sf):
+    d = T.documents(spark, sf)
+    scope = ["collection_id", "host", "language"]
+    return DD.decisions(d, "doc_id", scope, scope, [F.when(F.col("fetch_status") == "ok", 0).otherwise(1).alias("failed"), (-F.char_length("text")).alias("length")])
+
+
+@query(f"WITH {T.DOCUMENTS}, {T.REGISTRY}, {_EVENT}, {_TIERED} SELECT strftime(d, '%Y-%m') AS month, count(*) FILTER (tier = 'low') AS low, count(*) FILTER (tier = 'authoritative') AS authoritative, count(*) FILTER (tier = 'mixed') AS mixed FROM tiered GROUP BY 1")
+def month_tier_pivot(spark, sf):
+    return _tiered(spark, sf).groupBy(F.date_format("d", "yyyy-MM").alias("month")).pivot("tier", list(S.TIERS)).count().na.fill(0)
+
+
+@query(f"WITH {T.DOCUMENTS}, {T.REGISTRY}, {_EVENT}, {_TIERED} SELECT tier, host, count(*) AS n, row_number() OVER (PARTITION BY tier ORDER BY count(*) DESC, host) AS rank FROM tiered GROUP BY tier, host QUALIFY rank <= 3")
+def top_hosts_per_tier(spark, sf):
+    n = _tiered(spark, sf).groupBy("tier", "host").agg(F.count("*").alias("n"))
+    return n.withColumn("rank", F.row_number().over(Window.partitionBy("tier").orderBy(F.desc("n"), "host"))).filter("rank <= 3")
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 

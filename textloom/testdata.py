@@ -81,3 +81,34 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 CHUNKS = """chunks AS (
   SELECT vec_id AS point_id, [CAST(x AS DOUBLE) FOR x IN embedding] AS v, strftime(date '2020-02-01' + to_months(CAST(vec_id % 12 AS INTEGER)), '%Y-%m') AS month,
     CASE vec_id % 3 WHEN 0 THEN 'low' WHEN 1 THEN 'authoritative' ELSE 'mixed' END AS tier, 'host' || (vec_id % 11) AS host, CASE WHEN label = 9 THEN -1 ELSE label END AS topic FROM embeddings)"""
+
+
+def places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nations as a gazetteer with names that two places share."""
+    n = read(spark, sf_dir, "nation").join(read(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").alias("n_nationkey")).agg((F.count("*") * 1000).alias("population")), "n_nationkey", "left")
+    at = ["cast(n_nationkey * 7 % 140 - 70 as double) as lat", "cast(n_nationkey * 29 % 340 - 170 as double) as lon"]
+    one = n.selectExpr("n_nationkey as place_id", "n_name as name", "array('alt ' || n_nationkey % 10) as alternates", "'C' || n_nationkey as country_code", "coalesce(population, 0) as population", *at)
+    two = n.filter("n_nationkey % 4 = 0").selectExpr("n_nationkey + 100 as place_id", "n_name as name", "array('other ' || n_nationkey) as alternates", "'C' || (n_nationkey + 1) % 25 as country_code", "cast(n_nationkey * 1000 as bigint) as population", *at)
+    return one.unionByName(two)
+
+
+def countries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "nation").selectExpr("n_name as country_name", "'C' || n_nationkey as country_code")
+
+
+def mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as mentions, ten an article, some with a country around them."""
+    return read(spark, sf_dir, "orders").selectExpr(
+        "o_orderkey as mention_id", "o_orderkey div 10 as article_id",
+        "case o_orderkey % 3 when 0 then 'NATION_' || o_custkey % 25 when 1 then ' Nation_' || o_custkey % 25 || ' ' else 'Alt ' || o_custkey % 12 end as surface",
+        "case when o_orderkey % 4 = 0 then 'In Nation_' || o_orderkey % 25 || ' today' end as context",
+    )
+
+
+PLACES = """pop AS (SELECT c_nationkey AS n_nationkey, count(*) * 1000 AS n FROM customer GROUP BY 1),
+ places AS (SELECT n_nationkey AS place_id, lower(n_name) AS name, 'alt ' || (n_nationkey % 10) AS alternate, 'C' || n_nationkey AS cc, coalesce(n, 0) AS population,
+   CAST(n_nationkey * 7 % 140 - 70 AS DOUBLE) AS lat, CAST(n_nationkey * 29 % 340 - 170 AS DOUBLE) AS lon FROM nation LEFT JOIN pop USING (n_nationkey)
+  UNION ALL SELECT n_nationkey + 100, lower(n_name), 'other ' || n_nationkey, 'C' || ((n_nationkey + 1) % 25), n_nationkey * 1000, CAST(n_nationkey * 7 % 140 - 70 AS DOUBLE), CAST(n_nationkey * 29 % 340 - 170 AS DOUBLE) FROM nation WHERE n_nationkey % 4 = 0),
+ mentions AS (SELECT o_orderkey AS mention_id, o_orderkey // 10 AS article_id,
+   CASE o_orderkey % 3 WHEN 0 THEN 'NATION_' || (o_custkey % 25) WHEN 1 THEN ' Nation_' || (o_custkey % 25) || ' ' ELSE 'Alt ' || (o_custkey % 12) END AS surface,
+   CASE WHEN o_orderkey % 4 = 0 THEN 'In Nation_' || (o_orderkey % 25) || ' today' END AS context FROM orders)"""
