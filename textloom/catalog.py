@@ -396,11 +396,33 @@ def country_attention(spark, sf):
     return P.attention(docs, _collapsed(spark, sf), "article_id", ["tier"]).select("tier", "country_code", "n_articles", "n_mapped", F.round("percent", 6).alias("percent"))
 
 
+def _best_first() -> list:
+    return [F.when(F.col("fetch_status") == "ok", 0).otherwise(1).alias("failed"), (-F.char_length("text")).alias("length")]
+
+
 @query()
 def dedupe_decisions(spark, sf):
-    d = T.documents(spark, sf)
-    scope = ["collection_id", "host", "language"]
-    return DD.decisions(d, "doc_id", scope, scope, [F.when(F.col("fetch_status") == "ok", 0).otherwise(1).alias("failed"), (-F.char_length("text")).alias("length")])
+    return DD.decisions(T.documents(spark, sf), "doc_id", ["language"], ["language", "host"], _best_first())
+
+
+@query(f"""WITH {T.DOCUMENTS}, h AS (SELECT *, {_HASH} AS hash, CASE WHEN fetch_status = 'ok' THEN 0 ELSE 1 END AS failed FROM docs),
+f AS (SELECT doc_id, first_value(doc_id) OVER (PARTITION BY language, hash ORDER BY failed, length(text) DESC, doc_id) AS best FROM h)
+SELECT doc_id, CASE WHEN best <> doc_id THEN 'exact' END AS reason, CASE WHEN best <> doc_id THEN best END AS representative FROM f""")
+def dedupe_exact(spark, sf):
+    return DD.decisions(T.documents(spark, sf), "doc_id", ["language"], ["language", "host"], _best_first(), 1.0)
+
+
+@query(f"WITH {_SLICES}, s AS (SELECT a.node AS source, b.node AS target, sum(a.p * log2(a.p / (a.p + b.p)) + b.p * log2(b.p / (a.p + b.p))) AS s FROM p a JOIN spine s USING (win) JOIN p b ON b.win = s.nxt AND a.term = b.term GROUP BY ALL) SELECT source, target, round(greatest(0.0, least(1.0, 1 + s / 2)), 6) AS divergence FROM s")
+def js_divergence(spark, sf):
+    return E.js_divergence(_slices(spark, sf)).withColumn("divergence", F.round("divergence", 6))
+
+
+@query(f"""WITH RECURSIVE {_SLICES}, f AS (SELECT * FROM edges QUALIFY row_number() OVER (PARTITION BY target ORDER BY similarity DESC, source) = 1),
+c AS (SELECT source, target FROM f QUALIFY row_number() OVER (PARTITION BY source ORDER BY similarity DESC, target) = 1),
+chain(node, track) AS (SELECT node, node FROM (SELECT DISTINCT node FROM p) WHERE node NOT IN (SELECT target FROM c) UNION ALL SELECT c.target, chain.track FROM chain JOIN c ON c.source = chain.node) SELECT node, track FROM chain""")
+def lineage_tracks(spark, sf):
+    s = _slices(spark, sf)
+    return E.tracks(s.select("node").distinct(), S.primary_parents(S.topic_edges(s, 0.45))).select("node", "track")
 
 
 @query(f"WITH {T.DOCUMENTS}, {T.REGISTRY}, {_EVENT}, {_TIERED} SELECT strftime(d, '%Y-%m') AS month, count(*) FILTER (tier = 'low') AS low, count(*) FILTER (tier = 'authoritative') AS authoritative, count(*) FILTER (tier = 'mixed') AS mixed FROM tiered GROUP BY 1")

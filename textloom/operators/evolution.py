@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.operators.semantics import topic_edges
+from textloom.plans.lineage import cut
 
 
 def trailing_frames(rows: DataFrame, date: str, weeks: int = 4) -> DataFrame:
@@ -85,3 +86,32 @@ def most_frequent(rows: DataFrame, key: str, value: str) -> DataFrame:
     """The most frequent value of each key, the smallest of equals."""
     n = rows.groupBy(key, value).agg(F.count("*").alias("n"))
     return n.groupBy(key).agg(F.min_by(F.struct(value, "n"), F.struct(-F.col("n"), F.col(value))).alias("best")).select(key, f"best.{value}", "best.n")
+
+
+def js_divergence(slices: DataFrame) -> DataFrame:
+    """(source, target, divergence) of topics of adjacent windows: Jensen-Shannon divergence of term shares in bits.
+
+    A term of one topic only adds half its share, so the terms that both have are enough; topics that share none
+    diverge by 1 and have no row.
+    """
+    spine = slices.select("window").distinct().withColumn("w", F.lead("window").over(Window.orderBy("window")))
+    a = slices.join(spine, "window").select(F.col("node").alias("source"), "w", "term", F.col("p").alias("p"))
+    b = slices.select(F.col("node").alias("target"), F.col("window").alias("w"), "term", F.col("p").alias("q"))
+    p, q = F.col("p"), F.col("q")
+    both = a.join(b, ["w", "term"]).groupBy("source", "target").agg(F.sum(p * F.log2(p / (p + q)) + q * F.log2(q / (p + q))).alias("s"))
+    return both.select("source", "target", F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 + F.col("s") / 2)).alias("divergence"))
+
+
+def tracks(nodes: DataFrame, parents: DataFrame) -> DataFrame:
+    """``nodes`` with ``track``: the first topic of the chain of continuations that each belongs to.
+
+    ``parents`` is as of primary_parents(). Chains are halved each round, so rounds are the logarithm of the windows.
+    """
+    up = parents.filter("continues").select(F.col("target").alias("node"), F.col("source").alias("track"))
+    at = cut(nodes.join(up, "node", "left").withColumn("track", F.coalesce("track", "node")))
+    while True:
+        further = at.select(F.col("node").alias("track"), F.col("track").alias("next"))
+        jumped = cut(at.join(further, "track"))
+        at = jumped.drop("track").withColumnRenamed("next", "track")
+        if jumped.filter("track <> next").isEmpty():
+            return at
