@@ -79,6 +79,20 @@ def test_passages(docs, rows):
     assert compact_windows.clean_documents(docs).columns == docs.columns
 
 
+def test_passages_of_several_sources(spark):
+    rng = random.Random(7)
+    a, b, line, short, long = (words(rng, n) for n in (70, 70, 20, 30, 200))
+    mixed = f"{line} {words(rng, 40)}"  # its line was first in another document
+    texts = [f"{words(rng, 30)} {x} {words(rng, 30)}" for x in (a, b, line, short, long, mixed)]
+    texts += [f"{a} {b}", f"{b} {words(rng, 5)} {a}", f"{long} {b}", f"{a} {short}", f"{a} {mixed}", f"{a} {b} {long}"]
+    got = compact_windows.remove_passages(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).cache()
+    sources = {r["doc_id"]: r["sources"] for r in got.collect()}
+    assert [sources[i] for i in range(6)] == [[]] * 6
+    assert [sources[i] for i in range(6, 12)] == [[0, 1], [0, 1], [1, 4], [0], [0, 5], [0, 1, 4]]
+    classes = {r["node"]: r["component"] for r in compact_windows.classes(got).collect()}
+    assert {classes[i] for i in (0, 1, 4, 5, 6, 7, 8, 9, 10, 11)} == {0} and 2 not in classes and 3 not in classes
+
+
 def test_mixing(docs, rows):
     got = mixing.mix(docs).collect()
     again = mixing.mix(docs.repartition(7)).collect()
