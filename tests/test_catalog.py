@@ -1,12 +1,17 @@
 """Every query with SQL against DuckDB on the smallest tables, and table-driven cases of the functions."""
 
+import itertools
+import math
+import random
+from collections import Counter
+
 import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from textloom import catalog
 from textloom.functions import text, times, urls
-from textloom.operators import corpus
+from textloom.operators import corpus, evolution
 
 DIR = "/root/testdata/sf0.001"
 TABLES = "documents embeddings pages labels nation customer orders".split()
@@ -70,3 +75,22 @@ def test_repeated_blocks_and_markers(spark):
     kept, m = df.select(text.without_repeated_blocks(F.col("t")), text.claim_markers(F.col("c"))).first()
     assert len(kept.split("\n")) == 4
     assert m["numbers"] == ["101"] and m["negations"] == ["it will not cure 101 cases"]
+
+
+def test_term_field_beyond_the_most_frequent(spark):
+    rng = random.Random(3)
+    names = [f"{a}{b}{c}" for a in "abcde" for b in "fghij" for c in "klmno"]
+    texts = [rng.choices(names, range(1, 126), k=12) for _ in range(300)] + [["rare", "seldom"]] * 3
+    held = [set(t) for t in texts]
+    df = {t: c for t, c in Counter(t for h in held for t in h).items() if 3 <= c <= 0.8 * len(held)}
+    want = {}
+    for a, b in itertools.combinations(sorted(df), 2):
+        both = sum(a in h and b in h for h in held)
+        if both >= 3 and (v := round(math.log(both * len(held) / (df[a] * df[b])) / -math.log(both / len(held)), 6)) >= 0.15:
+            want[a, b] = both, v
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {(r["a"], r["b"]): (r["together"], r["npmi"]) for r in evolution.term_field(docs, "doc_id", 1200).collect()}
+    assert got == want and ("rare", "seldom") in got
+    assert evolution.term_field(docs.limit(0), "doc_id", 1200).count() == 0
+    beyond = {r["a"] for r in catalog.queries()["term_field_1200"](spark, DIR).collect()} - {r["a"] for r in catalog.queries()["term_field"](spark, DIR).collect()}
+    assert len(beyond) > 60

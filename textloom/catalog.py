@@ -308,6 +308,15 @@ def term_field(spark, sf):
     return E.term_field(T.read(spark, sf, "documents").select("doc_id", "text"), "doc_id", 60)
 
 
+@query(r"""WITH t AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '[a-z]{3,}')) AS term FROM documents), n AS (SELECT count(*) AS n FROM documents),
+v AS (SELECT term, count(*) AS df FROM t GROUP BY 1 HAVING df >= 3 AND df <= 0.8 * (SELECT n FROM n) ORDER BY df DESC, term LIMIT 1200), h AS (SELECT t.* FROM t JOIN v USING (term)),
+c AS (SELECT x.term AS a, y.term AS b, count(*) AS together FROM h x JOIN h y ON x.doc_id = y.doc_id AND x.term < y.term GROUP BY ALL HAVING together >= 3)
+SELECT a, b, together, round(ln(together * n / (va.df * vb.df)) / -ln(together / n), 6) AS npmi FROM c JOIN v va ON va.term = a JOIN v vb ON vb.term = b, n
+WHERE together < n AND round(ln(together * n / (va.df * vb.df)) / -ln(together / n), 6) >= 0.15""")
+def term_field_1200(spark, sf):
+    return E.term_field(T.read(spark, sf, "documents").select("doc_id", "text"), "doc_id", 1200)
+
+
 _STARTS = ", ".join(f"(date '{a}', '{n}')" for n, a, _ in D.PHASES)
 
 

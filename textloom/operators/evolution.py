@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -55,23 +60,42 @@ def topic_events(slices: DataFrame, threshold: float) -> DataFrame:
     )
 
 
+def _together(features: int):
+    """(a, b, together) of a task's documents: the product of their 0/1 matrix over the vocabulary with itself."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((features, features), np.int64)
+        for batch in batches:
+            for k in range(0, batch.num_rows, 2048):
+                t = batch.column(0).slice(k, 2048)
+                held = np.zeros((len(t), features), np.float32)
+                held[pc.list_parent_indices(t).to_numpy(), t.flatten().to_numpy()] = 1
+                total += (held.T @ held).astype(np.int64)
+        a, b = np.nonzero(np.triu(total, 1))
+        yield pa.RecordBatch.from_arrays([pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32)), pa.array(total[a, b])], names=["i", "j", "together"])
+
+    return run
+
+
 def term_field(docs: DataFrame, key: str, features: int, min_df: int = 3, max_df: float = 0.8, min_together: int = 3, least: float = 0.15) -> DataFrame:
     """(a, b, together, npmi) of terms that occur in the same documents.
 
-    The vocabulary is the ``features`` most frequent terms, so a document has at most that many, squared,
-    pairs, and their counts are summed before the shuffle.
+    The vocabulary is the ``features`` most frequent terms. Each task counts the pairs of its documents in a matrix
+    of that many, squared, and counts are summed over the tasks: no document's pairs become rows.
     """
     terms = docs.select(key, F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"[a-z]{3,}"), F.lit(0)))).alias("term"))
     n = docs.agg(F.count("*").alias("n"))  # one row
     df = terms.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(n)).filter((F.col("df") >= min_df) & (F.col("df") <= max_df * F.col("n")))
-    vocabulary = df.orderBy(F.desc("df"), "term").limit(features)
-    held = terms.join(F.broadcast(vocabulary.select("term")), "term").groupBy(key).agg(F.array_sort(F.collect_list("term")).alias("t"))
-    pairs = held.select(F.posexplode("t").alias("i", "a"), "t").select("a", F.explode(F.slice("t", F.col("i") + 2, F.size("t"))).alias("b"))
-    together = pairs.groupBy("a", "b").agg(F.count("*").alias("together")).filter(F.col("together") >= min_together)
-    one, two = (vocabulary.select(F.col("term").alias(c), F.col("df").alias(f"df_{c}"), *(["n"] if c == "a" else [])) for c in "ab")
+    rows = sorted((r["term"], r["df"], r["n"]) for r in df.orderBy(F.desc("df"), "term").limit(features).collect())  # at most features rows
+    vocabulary = docs.sparkSession.createDataFrame([(i, *r) for i, r in enumerate(rows)], "at int, term string, df long, n long")
+    held = terms.join(F.broadcast(vocabulary.select("term", "at")), "term").groupBy(key).agg(F.collect_list("at").alias("t"))
+    pairs = held.select("t").mapInArrow(_together(len(rows)), "i int, j int, together long")
+    together = pairs.groupBy("i", "j").agg(F.sum("together").alias("together")).filter(F.col("together") >= min_together)
+    one = vocabulary.select(F.col("at").alias("i"), F.col("term").alias("a"), F.col("df").alias("df_a"), "n")
+    two = vocabulary.select(F.col("at").alias("j"), F.col("term").alias("b"), F.col("df").alias("df_b"))
     x, size = F.col("together"), F.col("n")
     npmi = F.round(F.ln(x * size / (F.col("df_a") * F.col("df_b"))) / -F.ln(x / size), 6)
-    out = together.join(F.broadcast(one), "a").join(F.broadcast(two), "b").filter(x < size)
+    out = together.join(F.broadcast(one), "i").join(F.broadcast(two), "j").filter(x < size)
     return out.select("a", "b", "together", npmi.alias("npmi")).filter(F.col("npmi") >= least)
 
 
