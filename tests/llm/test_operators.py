@@ -143,6 +143,16 @@ def test_models(spark):
     assert all(r["accepted"] == (r["doc_id"] % 5 != 0) for r in quality.score(df, model).collect() if r["doc_id"] < 200)
 
 
+def test_many_languages(spark):
+    names = [f"l{i:03}" for i in range(420)]
+    rows = [(10 * i + k, " ".join(chr(0x4E00 + i) * 3 for _ in range(5 + k)), n) for i, n in enumerate(names) for k in range(6 if i < 400 else 5)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(df, "text", "lang", "doc_id")
+    assert model.labels == names
+    right = [r["lang_pred"] == names[r["doc_id"] // 10] for r in langid.predict(df, model).collect() if r["doc_id"] >= 4000]
+    assert len(right) == 100 and all(right)
+
+
 def test_empty(spark):
     docs = spark.createDataFrame([], SCHEMA)
     for df in (bpe.encode(docs, VOCABULARY), suffix_dedup.remove_repeats(docs), jaccard_forest.join(docs), compact_windows.remove_passages(docs), mixing.mix(docs), langid.identify(docs)):

@@ -5,7 +5,8 @@ folded. A document's value of a feature is its share of the text's n-grams times
 document frequency, so a score is a mean of weights over the n-grams and needs no sparse vectors.
 Document frequencies cover every training document. The weights are trained by FTRL-proximal with an
 elastic net (most of them are exactly 0) on a bounded sample, by default 500 documents a language; a held
-part of the sample sets the temperature of the softmax.
+part of the sample sets the temperature of the softmax. Every value of ``lang`` is a language, however many
+there are: sample and weights (``DIMENSIONS`` numbers a language, on the driver and each worker) grow with them.
 
 Texts are used whole. ``und`` with score 0 is given to null texts and texts without a letter, and to all
 texts if nothing could be learned. Rows, also repeated ones, are independent; an empty table gives an
@@ -25,8 +26,8 @@ from pyspark.sql import functions as F
 
 from textloom.llm.common import codepoints, slices, utf8_column
 
-#: Hash buckets of n-grams; documents a language in the training sample, at most about; languages, at most.
-DIMENSIONS, SAMPLE_EACH, LANGUAGES = 1 << 15, 500, 400
+#: Hash buckets of n-grams; documents a language in the training sample, at most about.
+DIMENSIONS, SAMPLE_EACH = 1 << 15, 500
 _SLICE = 1 << 20
 
 
@@ -192,15 +193,15 @@ class Model:
 def fit(docs: DataFrame, text: str, lang: str, key: str, seed: int = 5) -> Model | None:
     """A model from the rows with a text and a lang, or None if there are none."""
     own = docs.select(F.col(f"`{text}`").cast("string").alias("t"), F.col(f"`{lang}`").cast("string").alias("l"), F.xxhash64(F.lit(seed), F.col(f"`{key}`"), F.length(F.col(f"`{text}`"))).alias("slot")).filter("t is not null and l is not null")
-    each = own.groupBy("l").count().orderBy(F.desc("count"), "l").limit(LANGUAGES).collect()  # at most LANGUAGES rows
+    each = own.groupBy("l").count().collect()  # a row a language
     if not each:
         return None
     frequency = {r["feature"]: r["df"] for r in own.select("t").mapInArrow(_count_batches, "feature int, df long").groupBy("feature").agg(F.sum("df").alias("df")).collect()}
     df = np.array([frequency.get(i, 0) for i in range(DIMENSIONS + 1)], np.float64)
     idf = np.log((1 + df[-1]) / (1 + df[:-1])) + 1
     # Rows whose hash is below a language's share: about SAMPLE_EACH of each, whatever the table's size.
-    share = F.create_map(*[x for r in each for x in (F.lit(r["l"]), F.lit(min(1.0, SAMPLE_EACH / r["count"])))])
-    chosen = own.filter(F.pmod("slot", F.lit(1_000_003)) / F.lit(1_000_003.0) < F.coalesce(share[F.col("l")], F.lit(0.0)))
+    share = docs.sparkSession.createDataFrame([(r["l"], min(1.0, SAMPLE_EACH / r["count"])) for r in each], "l string, share double")
+    chosen = own.join(F.broadcast(share), "l").filter(F.pmod("slot", F.lit(1_000_003)) / F.lit(1_000_003.0) < F.col("share"))
     sample = chosen.select("l", "slot", "t").mapInArrow(_features, "lang string, slot long, ids binary, shares binary").collect()
     sample.sort(key=lambda r: (r["slot"], r["lang"], r["ids"]))
     labels = sorted({r["lang"] for r in sample})
