@@ -16,11 +16,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a folder of our own only where none is set (tests)."""
+    """The cluster's shared folder; a folder of our own only on a local master that names none, as in tests."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
         have = spark.sparkContext._jsc.sc().getCheckpointDir()
-        found = have.get() if have.isDefined() else tempfile.mkdtemp(prefix="textloom-checkpoint-")
+        if have.isDefined():
+            return have.get()
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        found = tempfile.mkdtemp(prefix="textloom-checkpoint-")
+        spark.conf.set("spark.checkpoint.dir", found)
     return found
 
 
@@ -32,13 +38,19 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def partitions(df: DataFrame, bytes_each: int = 32 << 20) -> int:
-    """Shuffle partitions for ``df``: the session's number, more if the scan's estimated size asks for it."""
-    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+def size_in_bytes(df: DataFrame) -> int:
+    """The plan's estimate, or where Spark has none (behind a join or an RDD) the columns' bytes, counted."""
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    if size > 1 << 56:  # Spark has no estimate
-        return least
-    return max(least, min(size // bytes_each, 50_000))
+    if size <= 1 << 50:
+        return size
+    wide = [F.coalesce(F.octet_length(F.col(f"`{n}`")), F.lit(0)).cast("long") for n, t in df.dtypes if t in ("string", "binary")]
+    return int(df.agg(F.sum(sum(wide, F.lit(8 * len(df.columns)).cast("long")))).first()[0] or 0)
+
+
+def partitions(df: DataFrame, bytes_each: int = 32 << 20, size: int | None = None) -> int:
+    """Shuffle partitions for ``df``: the session's number, more if its size asks for it."""
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(least, -(-(size_in_bytes(df) if size is None else size) // bytes_each))
 
 
 def utf8_column(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -4,7 +4,9 @@ A corpus-wide question about many small items (is this hash in another document?
 every chunk of documents sends each bucket one packed row of its items, buckets answer every chunk that
 asked with one packed row. A chunk sends an item once, however often it has it, so an item that a third
 of all documents hold comes to its bucket once a chunk, never once a document; and there is no JVM row
-for each item. Rows go by Spark's shuffle and are cut by checkpoints, so lost executors cost a rerun.
+for each item. A message has at least one item, so there are never more of them than items, and far fewer
+while a chunk has more items than there are buckets. Rows go by Spark's shuffle and are cut by
+checkpoints, so lost executors cost a rerun.
 """
 
 from __future__ import annotations
@@ -16,10 +18,10 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm.common import checkpoint_dir, partitions, slices, utf8_column
+from textloom.llm.common import checkpoint_dir, partitions, size_in_bytes, slices, utf8_column
 
 
 def pack(*arrays: np.ndarray) -> bytes:
@@ -69,30 +71,58 @@ def unsqueeze(column: pa.Array) -> list[bytes]:
 
 #: Bytes of a chunk in the table's files, about.
 CHUNK_BYTES = 3 << 20
+#: Tables made by this process: name -> folder.
+_MADE: dict[str, str] = {}
 
 
 def sizes(docs: DataFrame) -> tuple[int, int]:
     """(chunks, buckets) for a table: buckets are as many as shuffle partitions, chunks are small enough for a worker."""
-    return partitions(docs, CHUNK_BYTES), partitions(docs)
+    size = size_in_bytes(docs)
+    return partitions(docs, CHUNK_BYTES, size), partitions(docs, size=size)
+
+
+def stored(rows: DataFrame, n: int) -> DataFrame:
+    """The rows, with a column ``chunk``, written once to the shared folder as a table of n buckets by chunk.
+
+    Rounds read it in place, without dealing the rows out again. release() drops it.
+    """
+    spark, name = rows.sparkSession, f"textloom_{uuid.uuid4().hex}"
+    _MADE[name] = f"{checkpoint_dir(spark).rstrip('/')}/{name}"
+    rows.repartition(n, "chunk").write.format("parquet").option("compression", "none").option("path", _MADE[name]).bucketBy(n, "chunk").saveAsTable(name)
+    table = spark.table(name)
+    table.__dict__["textloom_width"] = n
+    return table
+
+
+def width(table: DataFrame) -> int:
+    """The number of buckets of a table that stored() made."""
+    return table.__dict__["textloom_width"]
+
+
+def release(spark: SparkSession) -> None:
+    """Drops the tables that operators have stored and their folders. Call it when their results have been written."""
+    jvm = spark.sparkContext._jvm
+    while _MADE:
+        name, folder = _MADE.popitem()
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def chunked(docs: DataFrame, chunks: int, text: str = "text", key: str = "doc_id", carry: bool = False) -> DataFrame:
     """(doc_id, row_id, rest, chunk, body): documents dealt to chunks by a hash of id and text, texts compressed.
 
     ``row_id`` tells rows of one document id apart. ``rest`` has all columns but the text if they are to be
-    carried along. The table is written once, bucketed by chunk, to the shared checkpoint folder: rounds
-    read it in place, without dealing the texts out again.
+    carried along. Ids are integers; one that is none counts as null.
     """
-    spark, n = docs.sparkSession, partitions(docs)
+    n = partitions(docs)
     other = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns) if c != text] if carry else []
     rest = F.struct(*other) if other else F.lit(None).cast("int")
-    own = docs.select(F.col(f"`{key}`").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row_id"), rest.alias("rest"), F.col(f"`{text}`").cast("string").alias("body"))
+    number = F.col(f"`{key}`").try_cast("long")
+    own = docs.select(number.alias("doc_id"), F.monotonically_increasing_id().alias("row_id"), rest.alias("rest"), F.col(f"`{text}`").cast("string").alias("body"))
     own = own.select("doc_id", "row_id", "rest", F.pmod(F.xxhash64("doc_id", "body"), F.lit(chunks)).cast("int").alias("chunk"), "body")
     packed = own.mapInArrow(_squeeze, f"doc_id long, row_id long, rest {dict(own.dtypes)['rest']}, chunk int, body binary")
-    name = f"textloom_{uuid.uuid4().hex}"
-    path = f"{checkpoint_dir(spark).rstrip('/')}/{name}"
-    packed.repartition(n, "chunk").write.format("parquet").option("compression", "none").option("path", path).bucketBy(n, "chunk").saveAsTable(name)
-    return spark.table(name)
+    return stored(packed, n)
 
 
 def restored(rows: DataFrame, docs: DataFrame, text: str, body: Column) -> DataFrame:
@@ -103,35 +133,44 @@ def restored(rows: DataFrame, docs: DataFrame, text: str, body: Column) -> DataF
 
 
 Messages = Iterator[tuple[int, bytes]]
+MESSAGE = "to int, sender int, load binary"
+
+
+def _ordered(rows: pa.Table) -> pa.Table:
+    """In the order of row_id, so that a row's place in its chunk is the same in every round."""
+    return rows.sort_by("row_id") if rows.num_rows else rows
 
 
 def ask(chunks: DataFrame, emit: Callable[[int, pa.Table], Messages]) -> DataFrame:
-    """(to, sender, load): what ``emit`` makes of every chunk's documents, addressed to buckets."""
+    """(to, sender, load): what ``emit`` makes of every chunk's rows (in the order of row_id), addressed to buckets."""
 
     def run(key: tuple[pa.Scalar, ...], docs: pa.Table) -> pa.Table:
         sender = key[0].as_py()
-        return _rows(sender, emit(sender, docs))
+        return _rows(sender, emit(sender, _ordered(docs)))
 
-    return chunks.groupBy("chunk").applyInArrow(run, "to int, sender int, load binary")
+    return chunks.groupBy("chunk").applyInArrow(run, MESSAGE)
 
 
-def answer(messages: DataFrame, reduce: Callable[[int, list[tuple[int, bytes]]], Messages]) -> DataFrame:
-    """(to, sender, load): what ``reduce`` makes of the messages to every bucket, addressed to chunks."""
+def answer(messages: DataFrame, reduce: Callable[[int, list[tuple[int, bytes]]], Messages], buckets: int) -> DataFrame:
+    """(to, sender, load): what ``reduce`` makes of the messages to every bucket, addressed to chunks.
+
+    The buckets are dealt to as many tasks, so that a task does not grow with the table.
+    """
 
     def run(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
         sender = key[0].as_py()
         got = sorted(zip(rows["sender"].to_pylist(), rows["load"].to_pylist(), strict=True))
         return _rows(sender, reduce(sender, got))
 
-    return messages.groupBy("to").applyInArrow(run, "to int, sender int, load binary")
+    return messages.repartition(buckets, "to").groupBy("to").applyInArrow(run, MESSAGE)
 
 
 def meet(chunks: DataFrame, messages: DataFrame, use: Callable[[int, pa.Table, list[tuple[int, bytes]]], pa.Table], schema: str) -> DataFrame:
-    """What ``use`` makes of every chunk's documents together with the messages to the chunk."""
+    """What ``use`` makes of every chunk's rows (in the order of row_id) together with the messages to the chunk."""
 
     def run(key: tuple[pa.Scalar, ...], docs: pa.Table, rows: pa.Table) -> pa.Table:
         got = sorted(zip(rows["sender"].to_pylist(), rows["load"].to_pylist(), strict=True))
-        return use(key[0].as_py(), docs, got)
+        return use(key[0].as_py(), _ordered(docs), got)
 
     return chunks.groupBy("chunk").cogroup(messages.groupBy("to")).applyInArrow(run, schema)
 
@@ -156,3 +195,15 @@ def by_bucket(bucket: np.ndarray, *columns: np.ndarray) -> Messages:
     for i, j in zip(np.concatenate([[0], ends]).tolist(), np.concatenate([ends, [len(b)]]).tolist(), strict=True):
         if i < j:
             yield int(b[i]), pack(*(c[order[i:j]] for c in columns))
+
+
+def pairs(messages: DataFrame) -> DataFrame:
+    """(a, b) of packed pairs of numbers."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for load in batch.column(0).to_pylist():
+                a, b = unpack(load, 2)
+                yield pa.RecordBatch.from_arrays([pa.array(a.astype(np.int64)), pa.array(b.astype(np.int64))], names=["a", "b"])
+
+    return messages.select("load").mapInArrow(run, "a long, b long")

@@ -2,21 +2,31 @@
 
 Texts are sets of word shingles. Equal sets are joined into one first, with their number. Each set gets a
 signature of ``TREES * DEPTH`` MinHash values; tree i takes ``DEPTH`` of them as its label, and the sorted
-labels are a prefix trie. One prefix length holds for all trees, sets and tables: the longest d by which sets
-of the target similarity meet in some tree with the target recall, 1 - (1 - s^d)^TREES, so 5 of 8 values at 0.8.
-Nothing is matched by its longest common prefix; candidates are those of banding, TREES bands of d values, and
-the values behind the prefix only order them. Neighbours in a tree's sorted order that share such a prefix are
-candidates, and chains of candidates are groups.
-
-All pairs within a group are verified exactly, on the shingles themselves: every set goes to its group's
-task once. Shingles of one set only are left out, shingles that the same sets have are joined into one
+labels of a tree are a prefix trie. A set asks in every tree for the sets that share a prefix of its label. It
+shortens these prefixes from the whole label on: first in all trees alike, until partners of the target
+similarity s are found with probability ``recall``, 1 - (1 - s^d)^TREES at length d (no knowledge of the table
+has a part in this, so the bound holds for every pair); then each set by itself, again and again in the tree
+where the next shorter prefix brings the fewest more sets, until the product of 1 - s^d over its trees' lengths
+says that ``FINE`` are found. So prefixes stay longer where a trie is crowded and get short where that is cheap.
+The number of sets below each prefix is counted in rounds between chunks and buckets (see exchange.py) that
+add counts up before anything is sent, so a prefix that a third of all sets have is one number a chunk.
+
+What meets by a prefix is first compared by the whole signatures: only pairs whose agreement does not speak
+against the similarity (``DOUBT`` standard errors below it) are edges, and only edges are closed into
+groups, so texts that merely share boilerplate do not chain. Sets below one short prefix are cut into tiles
+of ``TILE`` sets, so a crowded prefix is many tasks.
+
+All pairs within a group are then verified exactly, on the shingles themselves: every set goes to its
+group's task once. Shingles of one set only are left out, shingles that the same sets have are joined into one
 weighted column, and the overlaps are matrix products of blocks of sets. Groups of more than ``TILE`` sets
 are cut into tiles of two parts each. Pairs never leave a task: only numbers of links and a spanning
 forest do, so a group of any size costs rows in proportion to its sets, and no link within it is lost.
 
 Null and empty texts have no shingles and link with nothing; texts of fewer words than a shingle are one
-shingle. Rows that share an id are rows of their own for numbers of links. An empty table gives an empty
-result. Shingles are 64-bit hashes.
+shingle. Ids are integers; a row whose id is null (or is no integer) links with nothing and is kept. Rows that
+share an id are rows of their own for numbers of links; of rows with one id and one class the first is kept.
+Texts of any length are used whole. Further columns, whatever their names, are not looked at. An empty table
+gives an empty result. Shingles are 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -31,66 +41,258 @@ from pyspark.sql import functions as F
 from textloom.llm import exchange
 from textloom.llm.common import cut, mix64
 from textloom.llm.components import components, forest
-from textloom.llm.shingles import shingles, words
-
-#: Similarity, recall of candidates at it, trees and label values of each, sets of a task's part, salts of a prefix.
-SIMILARITY, RECALL, TREES, DEPTH, TILE, SALTS = 0.8, 0.998, 16, 8, 4096, 8
-
-
-def prefix_depth(similarity: float, recall: float, trees: int = TREES, depth: int = DEPTH) -> int:
-    """The longest prefix that reaches the recall: shortened from the whole label until it does."""
-    for d in range(depth, 1, -1):
-        if 1 - (1 - similarity**d) ** trees >= recall:
-            return d
-    return 1
-
-
+from textloom.llm.shingles import sets_of
+
+#: Similarity, recall of candidates at it by prefixes of one length and by those shortened further, trees and
+#: label values of each, shortest prefix, sets of a task's part.
+SIMILARITY, RECALL, FINE, TREES, DEPTH, SHORTEST, TILE = 0.8, 0.998, 0.9998, 16, 8, 3, 4096
+#: Standard errors of a signature's agreement that an edge may lie below the similarity.
+DOUBT = 4.5
+_LEVELS = DEPTH - SHORTEST + 1
 _A = mix64(np.arange(TREES * DEPTH, dtype=np.uint64), 7) | np.uint64(1)
 _B = mix64(np.arange(TREES * DEPTH, dtype=np.uint64), 8)
 
 
-def signature(s: np.ndarray) -> np.ndarray:
-    """MinHash values of a set of shingle hashes."""
-    out = np.full(len(_A), np.iinfo(np.uint32).max, np.uint32)
-    for i in range(0, len(s), 4096):
-        part = s[i : i + 4096]
+def signatures(sets: list[np.ndarray]) -> np.ndarray:
+    """16 bits of each MinHash value, a row a set; sets are not empty."""
+    out = np.empty((len(sets), len(_A)), np.uint16)
+    i = 0
+    while i < len(sets):
+        j, size = i, 0
+        while j < len(sets) and (j == i or size + len(sets[j]) <= 1 << 17):
+            size += len(sets[j])
+            j += 1
+        s = np.concatenate(sets[i:j])
+        begin = np.cumsum([0, *[len(x) for x in sets[i : j - 1]]])
+        h = np.empty_like(s)
         for k in range(len(_A)):
-            out[k] = min(out[k], int(((part * _A[k] + _B[k]) >> np.uint64(32)).min()))
+            np.multiply(s, _A[k], out=h)
+            h += _B[k]
+            out[i:j, k] = mix64(np.minimum.reduceat(h, begin)).astype(np.uint16)
+        i = j
     return out
 
 
-def _sets(depth: int):
-    """(doc_id, row_id, chunk, digest, shingles, labels) of every document with words."""
-
-    def run(key: tuple[pa.Scalar, ...], docs: pa.Table) -> pa.Table:
-        digest, size, labels = [], [], []
-        for body in exchange.unsqueeze(docs["body"]):
-            s = np.unique(shingles(words(np.frombuffer(body, np.uint8))[0]))
-            digest.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
-            size.append(len(s))
-            if len(s):
-                v = signature(s).reshape(TREES, DEPTH).astype(">u4")
-                labels.append([x.tobytes() for x in v])
-            else:
-                labels.append(None)
-        return pa.table({
-            "doc_id": docs["doc_id"], "row_id": docs["row_id"], "chunk": docs["chunk"], "digest": pa.array(digest, pa.binary()), "shingles": pa.array(size, pa.int64()), "labels": pa.array(labels, pa.list_(pa.binary())),
-        })
+def prefixes(sig: np.ndarray) -> np.ndarray:
+    """Hashes of each set's prefixes of SHORTEST to DEPTH values: [set, tree, level]."""
+    v = sig.reshape(len(sig), TREES, DEPTH).astype(np.uint64)
+    out = np.empty((len(sig), TREES, _LEVELS), np.uint64)
+    h = np.broadcast_to(mix64(np.arange(TREES, dtype=np.uint64), 21), (len(sig), TREES))
+    for d in range(DEPTH):
+        h = mix64(h * np.uint64(0x9E3779B97F4A7C15) + v[:, :, d], 22)
+        if d >= SHORTEST - 1:
+            out[:, :, d - SHORTEST + 1] = h
+    return out
 
-    return run
+
+def depths(sizes: np.ndarray, similarity: float, recall: float) -> np.ndarray:
+    """Prefix lengths [set, tree] from the numbers of sets below each prefix [set, tree, level]."""
+    base = next((d for d in range(DEPTH, SHORTEST, -1) if 1 - (1 - similarity**d) ** TREES >= recall), SHORTEST)
+    d = np.full(sizes.shape[:2], base)
+    miss = lambda x: np.log1p(-(float(similarity) ** x))
+    while True:
+        total = miss(d).sum(1)
+        rows = np.flatnonzero((total > np.log(1 - max(FINE, min(recall, 1 - 1e-12)))) & (d > SHORTEST).any(1))
+        if not len(rows):
+            return d
+        now = d[rows]
+        level = np.maximum(now - SHORTEST, 1)
+        here = np.take_along_axis(sizes[rows], level[:, :, None], 2)[:, :, 0]
+        more = np.take_along_axis(sizes[rows], level[:, :, None] - 1, 2)[:, :, 0]
+        price = np.where(now > SHORTEST, (more - here) * 16.0 - now, np.inf)  # of equal prices the longest prefix
+        d[rows, price.argmin(1)] -= 1
+
+
+def _sets(key: tuple[pa.Scalar, ...], docs: pa.Table) -> pa.Table:
+    """(doc_id, row_id, chunk, digest, shingles, sig) of every document."""
+    sets = sets_of(exchange.unsqueeze(docs["body"]))
+    full = [i for i, s in enumerate(sets) if len(s)]
+    digest: list[bytes | None] = [None] * len(sets)
+    sig: list[bytes | None] = [None] * len(sets)
+    for i, x in zip(full, signatures([sets[i] for i in full]), strict=True):
+        digest[i] = hashlib.blake2b(sets[i].tobytes(), digest_size=16).digest()
+        sig[i] = x.tobytes()
+    return pa.table({"doc_id": docs["doc_id"], "row_id": docs["row_id"], "chunk": docs["chunk"], "digest": pa.array(digest, pa.binary()), "shingles": pa.array([len(s) for s in sets], pa.int64()), "sig": pa.array(sig, pa.binary())})
+
+
+def _signatures(reps: pa.Table) -> np.ndarray:
+    return np.frombuffer(b"".join(reps["sig"].to_pylist()), np.uint16).reshape(reps.num_rows, -1)
+
+
+def _count(keys: np.ndarray, buckets: int):
+    """Messages (prefix, number of sets) to the prefixes' buckets."""
+    k, n = np.unique(keys, return_counts=True)
+    if len(k):
+        yield from exchange.by_bucket((k % np.uint64(buckets)).astype(np.int64), k, n.astype(np.uint32))
+
+
+def _total(bucket: int, got: list[tuple[int, bytes]]):
+    """Numbers of sets of the prefixes that more than one set has, to all chunks that have them."""
+    parts = [exchange.unpack(load, 2) for _, load in got]
+    k, n = (np.concatenate([p[i] for p in parts]) for i in range(2))
+    sender = np.repeat(np.arange(len(got)), [len(p[0]) for p in parts])
+    order = np.argsort(k, kind="stable")
+    k, n, sender = k[order], n[order].astype(np.int64), sender[order]
+    first = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
+    total = np.repeat(np.add.reduceat(n, first), np.diff(np.append(first, len(k))))
+    many = total > 1
+    for at, blob in exchange.by_bucket(sender[many], k[many], total[many]):
+        yield got[at][0], blob
+
+
+def _lookup(got: list[tuple[int, bytes]], keys: np.ndarray) -> np.ndarray:
+    """The numbers that were told for the keys, 1 for those that nothing was told of."""
+    parts = [exchange.unpack(load, 2) for _, load in got]
+    k, n = (np.concatenate([p[i] for p in parts]) for i in range(2))
+    order = np.argsort(k, kind="stable")
+    k, n = k[order], n[order]
+    at = np.minimum(np.searchsorted(k, keys), len(k) - 1)
+    return np.where(k[at] == keys, n[at], 1)
+
+
+def _shortest(buckets: int):
+    def emit(chunk: int, reps: pa.Table):
+        yield from _count(prefixes(_signatures(reps))[:, :, 0].ravel(), buckets)
+
+    return emit
+
+
+def _deeper(buckets: int):
+    """All prefixes of the sets and trees that are not alone below their shortest prefix."""
+
+    def use(chunk: int, reps: pa.Table, got: list[tuple[int, bytes]]) -> pa.Table:
+        if not reps.num_rows or not got:
+            return exchange.rows_of(chunk, iter(()))
+        p = prefixes(_signatures(reps))
+        return exchange.rows_of(chunk, _count(p[_lookup(got, p[:, :, 0]) > 1].ravel(), buckets))
+
+    return use
+
+
+def _deal(buckets: int, similarity: float, recall: float):
+    """Sets to the tiles of their prefixes: (tile, side, alone, set, tree, depth, signature)."""
+
+    def use(chunk: int, reps: pa.Table, got: list[tuple[int, bytes]]) -> pa.Table:
+        if not reps.num_rows or not got:
+            return exchange.rows_of(chunk, iter(()))
+        sig = _signatures(reps)
+        p = prefixes(sig)
+        sizes = _lookup(got, p.ravel()).reshape(p.shape)
+        d = depths(sizes, similarity, recall)
+        ids = reps["row_id"].to_numpy()
+        x, tree = np.nonzero(sizes[:, :, 0] > 1)
+        node, parts, depth = p[x, tree, 0], -(-sizes[x, tree, 0] // TILE), d[x, tree]
+        own = (mix64(ids[x], 31) % parts.astype(np.uint64)).astype(np.int64)
+        again = np.repeat(np.arange(len(x)), parts)
+        other = np.arange(len(again)) - np.repeat(np.cumsum(parts) - parts, parts)
+        a, b = np.minimum(own[again], other), np.maximum(own[again], other)
+        tile = mix64(node[again] + (a * 1_000_003 + b).astype(np.uint64), 32)
+        columns = (tile, (own[again] > other).astype(np.uint8), (a == b).astype(np.uint8), ids[x][again], tree[again].astype(np.uint8), depth[again].astype(np.uint8))
+        return exchange.rows_of(chunk, messages((tile % np.uint64(buckets)).astype(np.int64), columns, sig, x[again]))
+
+    def messages(bucket, columns, sig, x):
+        order = np.argsort(bucket, kind="stable")
+        ends = np.append(np.flatnonzero(np.diff(bucket[order])) + 1, len(order))
+        i = 0
+        for j in ends.tolist() if len(order) else []:
+            at = order[i:j]
+            yield int(bucket[at[0]]), exchange.pack(*(c[at] for c in columns), sig[x[at]].ravel())
+            i = j
+
+    return use
+
+
+def least_agreement(similarity: float) -> int:
+    """Of TREES * DEPTH values, how many an edge's signatures share at least."""
+    n = TREES * DEPTH
+    return max(1, int(np.floor(n * similarity - DOUBT * np.sqrt(n * similarity * (1 - similarity)))))
+
+
+def edges(label: np.ndarray, depth: np.ndarray, side: np.ndarray, alone: bool, sig: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of a tile's edges: (row, row) whose prefixes meet and whose signatures do not disagree."""
+    order = np.lexsort(label.T[::-1])
+    label, depth, side, sig = label[order], depth[order], side[order], sig[order]
+    n = len(order)
+    # In sorted order the rows that share a prefix of d values with a row are a run: [lo, hi).
+    lo, hi = np.empty(n, np.int64), np.empty(n, np.int64)
+    differs = label[1:] != label[:-1]
+    for d in np.unique(depth).tolist():
+        start = np.flatnonzero(np.concatenate([[True], differs[:, :d].any(1)]))
+        end = np.append(start[1:], n)
+        run = np.searchsorted(start, np.arange(n), "right") - 1
+        mine = depth == d
+        lo[mine], hi[mine] = start[run[mine]], end[run[mine]]
+    comp = np.arange(n)
+    heads, tails = [], []
+    for i in range(0, n, 128):
+        j = min(n, i + 128)
+        for s in range(int(lo[i:j].min()), int(hi[i:j].max()), 512):
+            e = min(n, s + 512)
+            if comp[i] == comp[s] and (comp[i:j] == comp[i]).all() and (comp[s:e] == comp[s]).all():
+                continue
+            at = np.arange(s, e)
+            meet = (at >= lo[i:j, None]) & (at < hi[i:j, None]) & (comp[i:j, None] != comp[s:e])
+            if not alone:
+                meet &= side[i:j, None] != side[s:e]
+            x, y = np.nonzero(meet)
+            for k in range(0, len(x), 1 << 15):
+                p, q = x[k : k + (1 << 15)] + i, y[k : k + (1 << 15)] + s
+                good = (sig[p] == sig[q]).sum(1) >= least
+                if good.any():
+                    heads.append(p[good])
+                    tails.append(q[good])
+            if heads:
+                p, q = forest(np.concatenate(heads), np.concatenate(tails))
+                heads, tails = [p], [q]
+                comp = np.arange(n)
+                comp[p] = q
+    p, q = (np.concatenate(heads), np.concatenate(tails)) if heads else (order[:0], order[:0])
+    return order[p], order[q]
+
+
+def _edges(similarity: float):
+    least = least_agreement(similarity)
+
+    def reduce(bucket: int, got: list[tuple[int, bytes]]):
+        parts = [exchange.unpack(load, 7) for _, load in got]
+        tile, side, alone, ids, tree, depth, sig = (np.concatenate([p[i] for p in parts]) for i in range(7))
+        sig = sig.reshape(len(tile), TREES * DEPTH)
+        order = np.argsort(tile, kind="stable")
+        first = np.flatnonzero(np.concatenate([[True], tile[order][1:] != tile[order][:-1]]))
+        size = np.diff(np.append(first, len(order)))
+        heads, tails = [], []
+        # Pairs of sets alone with each other in their tile, all at once.
+        two = first[size == 2]
+        x, y = order[two], order[two + 1]
+        mine = np.arange(DEPTH)
+        same = np.take_along_axis(sig[x], tree[x][:, None].astype(np.int64) * DEPTH + mine, 1) == np.take_along_axis(sig[y], tree[y][:, None].astype(np.int64) * DEPTH + mine, 1)
+        common = np.where(same.all(1), DEPTH, same.argmin(1))
+        good = (common >= np.minimum(depth[x], depth[y])) & ((side[x] != side[y]) | (alone[x] == 1)) & ((sig[x] == sig[y]).sum(1) >= least)
+        heads.append(ids[x[good]])
+        tails.append(ids[y[good]])
+        for f, n in zip(first[size > 2].tolist(), size[size > 2].tolist(), strict=True):
+            at = order[f : f + n]
+            t = int(tree[at[0]]) * DEPTH
+            p, q = edges(sig[at, t : t + DEPTH], depth[at], side[at], bool(alone[at[0]]), sig[at], least)
+            heads.append(ids[at[p]])
+            tails.append(ids[at[q]])
+        a, b = forest(np.concatenate(heads), np.concatenate(tails))
+        if len(a):
+            yield bucket, exchange.pack(a, b)
+
+    return reduce
 
 
 def _fetch(key: tuple[pa.Scalar, ...], docs: pa.Table, asked: pa.Table) -> pa.Table:
     """Shingles of the sets that are asked for, from their documents' chunk."""
-    want = {r: (g, rep, many) for r, g, rep, many in zip(*(asked[c].to_pylist() for c in ("row_id", "grp", "rep", "many")), strict=True)}
-    out: list[tuple[int, int, int, bytes]] = []
-    if want and docs.num_rows:
-        keep = [i for i, r in enumerate(docs["row_id"].to_pylist()) if r in want]
-        part = docs.take(pa.array(keep, pa.int64()))
-        for r, body in zip(part["row_id"].to_pylist(), exchange.unsqueeze(part["body"]), strict=True):
-            out.append((*want[r], np.unique(shingles(words(np.frombuffer(body, np.uint8))[0])).tobytes()))
-    g, rep, many, s = zip(*out, strict=True) if out else ((), (), (), ())
-    return pa.table({"grp": pa.array(g, pa.int64()), "rep": pa.array(rep, pa.int64()), "many": pa.array(many, pa.int64()), "s": pa.array(s, pa.binary())})
+    names = ("grp", "rep", "many", "parts")
+    want = {r: v for r, *v in zip(*(asked[c].to_pylist() for c in ("row_id", *names)), strict=True)}
+    if not want or not docs.num_rows:
+        return pa.table({**{n: pa.array([], pa.int64()) for n in names}, "s": pa.array([], pa.binary())})
+    part = docs.take(pa.array([i for i, r in enumerate(docs["row_id"].to_pylist()) if r in want], pa.int64()))
+    rows = [want[r] for r in part["row_id"].to_pylist()]
+    sets = [s.tobytes() for s in sets_of(exchange.unsqueeze(part["body"]))]
+    return pa.table({**{n: pa.array([r[i] for r in rows], pa.int64()) for i, n in enumerate(names)}, "s": pa.array(sets, pa.binary())})
 
 
 def _columns(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
@@ -192,35 +394,31 @@ def keep_one(docs: DataFrame, similarity: float = SIMILARITY, recall: float = RE
 
 def join_table(table: DataFrame, similarity: float, recall: float) -> DataFrame:
     """The join over a table made by exchange.chunked()."""
-    depth = prefix_depth(similarity, recall)
-    sets = cut(table.groupBy("chunk").applyInArrow(_sets(depth), "doc_id long, row_id long, chunk int, digest binary, shingles long, labels array<binary>"))
+    sets = cut(table.groupBy("chunk").applyInArrow(_sets, "doc_id long, row_id long, chunk int, digest binary, shingles long, sig binary"))
     full = sets.filter("digest is not null and doc_id is not null")
-    # One row a set; its smallest id stands for it. Copies are counted before the shuffle.
+    # One row a set; its smallest id stands for it. Copies are counted before the shuffle. Ids may repeat with
+    # other texts, so sets are named by a row of theirs.
     least = F.min_by(F.struct("row_id", "chunk"), F.struct("doc_id", "row_id"))
-    reps = cut(full.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("many"), least.alias("of"), F.first("labels").alias("labels")))
-    # Ids may repeat with other texts, so sets are named by a number of their own.
-    reps = reps.withColumn("set_id", F.col("of.row_id"))
-    trees = reps.select("set_id", F.posexplode("labels").alias("tree", "label"))
-    trees = trees.withColumns({"prefix": F.substring("label", 1, 4 * depth), "salt": F.pmod(F.xxhash64("set_id"), F.lit(SALTS))})
-    sorted_ = Window.partitionBy("tree", "prefix", "salt").orderBy("label", "set_id")
-    chains = trees.withColumns({"before": F.lag("set_id").over(sorted_), "n": F.row_number().over(sorted_)})
-    chains = cut(chains.filter("n = 1 or before is not null").select("tree", "prefix", "set_id", "before", "n"))
-    heads = chains.filter("n = 1").groupBy("tree", "prefix").agg(F.collect_set("set_id").alias("heads")).filter("size(heads) > 1")  # SALTS at most
-    across = heads.select(F.explode("heads").alias("a"), F.array_min("heads").alias("b"))
-    near = chains.filter("before is not null").select(F.col("set_id").alias("a"), F.col("before").alias("b")).unionByName(across)
-    groups = components(near).select(F.col("node").alias("set_id"), F.col("component").alias("grp"))
-    asked = cut(groups.join(reps.select("set_id", "many", "of"), "set_id").select("set_id", "grp", "many", F.col("of.row_id").alias("row_id"), F.col("of.chunk").alias("chunk")))
-    got = table.groupBy("chunk").cogroup(asked.select("chunk", "row_id", "grp", F.col("set_id").alias("rep"), "many").groupBy("chunk")).applyInArrow(_fetch, "grp long, rep long, many long, s binary")
-    parts = asked.groupBy("grp").agg(F.ceil(F.count("*") / F.lit(TILE)).cast("int").alias("parts")).filter("parts > 1")
-    got = got.join(parts, "grp", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
-    own = F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int")
-    every = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda j: F.struct(F.least(own, j).alias("a"), F.greatest(own, j).alias("b"), (own > j).cast("int").alias("side")))
+    reps = full.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("many"), least.alias("of"), F.first("sig").alias("sig"))
+    width = exchange.width(table)
+    reps = exchange.stored(reps.select("digest", "rep", "many", F.col("of.row_id").alias("row_id"), F.col("of.chunk").alias("chunk"), "sig"), width)
+    slim = reps.select("row_id", "chunk", "sig")
+    company = exchange.answer(exchange.ask(slim, _shortest(width)), _total, width)
+    counted = exchange.answer(exchange.meet(slim, company, _deeper(width), exchange.MESSAGE), _total, width)
+    dealt = exchange.meet(slim, counted, _deal(4 * width, similarity, recall), exchange.MESSAGE)
+    near = exchange.pairs(exchange.answer(dealt, _edges(similarity), 4 * width))
+    groups = cut(components(near).select(F.col("node").alias("row_id"), F.col("component").alias("grp")))
+    parts = groups.groupBy("grp").agg(F.ceil(F.count("*") / F.lit(TILE)).cast("long").alias("parts"))
+    asked = groups.join(parts, "grp").join(reps.select("row_id", "chunk", "many"), "row_id").select("chunk", "row_id", "grp", F.col("row_id").alias("rep"), "many", "parts")
+    got = table.groupBy("chunk").cogroup(asked.groupBy("chunk")).applyInArrow(_fetch, "grp long, rep long, many long, parts long, s binary")
+    own = F.pmod(F.xxhash64("rep"), F.col("parts"))
+    every = F.transform(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1), lambda j: F.struct(F.least(own, j).alias("a"), F.greatest(own, j).alias("b"), (own > j).cast("int").alias("side")))
     tiles = got.withColumn("t", F.explode(every)).select("grp", F.col("t.a").alias("a"), F.col("t.b").alias("b"), F.col("t.side").alias("side"), "rep", "many", "s")
     found = cut(tiles.groupBy("grp", "a", "b").applyInArrow(_verify(similarity), "rep long, links long, to long"))
     links = found.filter("to is null").groupBy("rep").agg(F.sum("links").alias("links"))
     linked = components(found.filter("to is not null").select(F.col("rep").alias("a"), F.col("to").alias("b")))
     # Classes are named by their smallest document id.
-    per = reps.select("digest", "set_id", "rep", "many").join(linked.select(F.col("node").alias("set_id"), "component"), "set_id", "left").join(links.withColumnRenamed("rep", "set_id"), "set_id", "left")
+    per = reps.select("digest", F.col("row_id").alias("set_id"), "rep", "many").join(linked.select(F.col("node").alias("set_id"), "component"), "set_id", "left").join(links.withColumnRenamed("rep", "set_id"), "set_id", "left")
     per = cut(per.withColumn("component", F.coalesce("component", "set_id")))
     names = per.groupBy("component").agg(F.min("rep").alias("class_id"))
     per = per.join(names, "component").select(F.col("digest").alias("d"), (F.coalesce("links", F.lit(0)) + F.col("many") - 1).alias("n_links"), "class_id")

@@ -44,3 +44,54 @@ def shingles(h: np.ndarray, k: int = K) -> np.ndarray:
         out ^= h[j : j + n]
         out ^= out >> np.uint64(29)
     return mix64(out, min(k, len(h)))
+
+
+#: Bytes that temporaries are made for at once.
+_PART = 1 << 20
+
+
+def batches(bodies: list[bytes]):
+    """Runs of texts of about ``_PART`` bytes, one text at least: (first, past the last)."""
+    i = 0
+    while i < len(bodies):
+        j, size = i, 0
+        while j < len(bodies) and (j == i or size + len(bodies[j]) <= _PART):
+            size += len(bodies[j])
+            j += 1
+        yield i, j
+        i = j
+
+
+def of_texts(bodies: list[bytes], k: int = K) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(hashes, where each text's hashes begin, words a text, begins and ends of all words) of the shingles of texts."""
+    n = np.array([len(x) for x in bodies], np.int64)
+    start = np.concatenate([[0], np.cumsum(n + 1)])
+    h, b, e = words(np.frombuffer(b" ".join(bodies) + b" ", np.uint8))
+    first = np.searchsorted(b, start)
+    many = np.diff(first)
+    owner = np.repeat(np.arange(len(bodies)), many)
+    size = np.where(many >= k, many - k + 1, np.minimum(many, 1))
+    begin = np.concatenate([[0], np.cumsum(size)])
+    out = np.empty(int(begin[-1]), np.uint64)
+    if len(h) >= k:
+        rolled = shingles(h, k)
+        inside = owner[: len(rolled)] == owner[k - 1 :]
+        place = begin[owner[: len(rolled)]] + np.arange(len(rolled)) - first[owner[: len(rolled)]]
+        out[place[inside]] = rolled[inside]
+    for i in np.flatnonzero((many > 0) & (many < k)).tolist():
+        out[begin[i]] = shingles(h[first[i] : first[i + 1]], k)[0]
+    shift = start[owner]
+    return out, begin, many, b - shift, e - shift
+
+
+def sets_of(bodies: list[bytes], k: int = K) -> list[np.ndarray]:
+    """The sorted different shingles of each text."""
+    out: list[np.ndarray] = []
+    for i, j in batches(bodies):
+        s, begin, *_ = of_texts(bodies[i:j], k)
+        doc = np.repeat(np.arange(j - i), np.diff(begin))
+        order = np.lexsort((s, doc))
+        s, doc = s[order], doc[order]
+        new = np.concatenate([[True], (s[1:] != s[:-1]) | (doc[1:] != doc[:-1])]) if len(s) else np.zeros(0, bool)
+        out += np.split(s[new], np.searchsorted(doc[new], np.arange(1, j - i)))
+    return out
