@@ -359,8 +359,8 @@ def remove_repeats(docs: DataFrame, length: int = 50, text: str = "text", key: s
         raise ValueError(f"length has to be above {SEED}")
     chunks, buckets = (chunks, chunks) if chunks else exchange.sizes(docs)
     table = exchange.chunked(docs, chunks, text, key)
-    shared = exchange.answer(exchange.ask(table, _tell(length, buckets)), _shared)
+    shared = exchange.answer(exchange.ask(table, _tell(length, buckets)), _shared, buckets)
     sent = cut(exchange.meet(table, shared, _send(length, FINER * buckets), "to int, sender int, load binary"))
     own = sent.filter("to < 0").select(F.col("sender").alias("to"), F.lit(-1).alias("sender"), "load")
-    spans = exchange.answer(sent.filter("to >= 0"), _sort(length)).unionByName(own)
+    spans = exchange.answer(sent.filter("to >= 0"), _sort(length), FINER * buckets).unionByName(own)
     return exchange.meet(table, spans, _finish, "doc_id long, row_id long, kept binary, n_bytes long, span_begins array<long>, span_ends array<long>")
