@@ -13,10 +13,16 @@ buckets of first bytes in order. Adjacent common prefixes of ``length`` bytes gi
 strings, each group its smallest document, and the answers to the chunks are the spans that go. Copies
 of a stretch within a chunk need no bucket: all of them but those of the smallest document go whole.
 
+A seed that very many stretches have, all different (a licence line, a stem of urls), is split before round
+two: its strings go by a second minimizer, the least seed of theirs by another hash, which equal strings
+share too. So the bucket of a hot seed gets only the strings that agree in a second seed.
+
 Everything is exact, whatever hashes collide, except for seeds' order, which only decides where to cut.
 An item that a third of all documents hold comes to its bucket once a chunk. Null texts are empty; texts
 below ``length`` bytes keep all; matches never cross documents. Rows that share an id are one document:
-they do not remove each other's bytes. Rows without an id keep all. An empty table gives an empty result.
+they do not remove each other's bytes. Ids are integers; rows whose id is null (or no integer) keep all. Texts of
+any length are used whole. Further columns, whatever their names, are not looked at. An empty table gives an
+empty result.
 """
 
 from __future__ import annotations
@@ -31,6 +37,8 @@ from textloom.llm.common import cut, mix64
 
 #: Bytes of a minimizer's seed; bytes of text that temporaries are made for at once.
 SEED, _PART = 20, 1 << 20
+#: Stretches of a seed in all chunks from which on its strings are split by a second seed.
+HOT = 2048
 #: Buckets of round two for each of round one: a suffix array's temporaries are many times its text.
 FINER = 4
 
@@ -46,25 +54,41 @@ def _least_in_window(h: np.ndarray, w: int) -> np.ndarray:
     return out
 
 
-def minimizers(raw: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, begin, windows) of the stretches of one text of ``length`` bytes or more.
-
-    Stretch k has the strings that start at begin[k] to begin[k] + windows[k] - 1 and share a minimizer.
-    """
+def _least(raw: np.ndarray, length: int, salt: int) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of all seeds, and of each string of ``length`` bytes the place of its least one."""
     n = len(raw)
     h = np.zeros(n - SEED + 1, np.uint64)
     for i in range(SEED):
         h *= np.uint64(0x100000001B3)
         h += raw[i : i + len(h)]
-    h = mix64(h)
+    h = mix64(h, salt)
     # The hash's upper bits with the place in the lower ones: the least is also the first of its equals.
     at = np.arange(len(h), dtype=np.uint64)
     tagged = (h & ~np.uint64(0xFFFFFFFF)) | (at & np.uint64(0xFFFFFFFF))
-    least = _least_in_window(tagged, length - SEED + 1)
-    begin = np.concatenate([[0], np.flatnonzero(least[1:] != least[:-1]) + 1])
-    place = (least[begin] & np.uint64(0xFFFFFFFF)).astype(np.int64)
-    windows = np.diff(np.append(begin, len(least)))
-    return h[place] >> np.uint64(8), begin, windows  # 56 bits tell seeds apart well enough, and more would only travel
+    return h, (_least_in_window(tagged, length - SEED + 1) & np.uint64(0xFFFFFFFF)).astype(np.int64)
+
+
+def minimizers(raw: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, begin, windows) of the stretches of one text of ``length`` bytes or more.
+
+    Stretch k has the strings that start at begin[k] to begin[k] + windows[k] - 1 and share a minimizer.
+    """
+    h, place = _least(raw, length, 0)
+    begin = np.concatenate([[0], np.flatnonzero(place[1:] != place[:-1]) + 1])
+    windows = np.diff(np.append(begin, len(place)))
+    return h[place[begin]] >> np.uint64(8), begin, windows  # 56 bits tell seeds apart well enough, and more would only travel
+
+
+def split(raw: np.ndarray, ends: np.ndarray, key: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(key, stretch, begin in it, windows): stretches, one after the other in ``raw``, cut by second minimizers."""
+    h, place = _least(raw, length, 1)
+    start = np.concatenate([[0], ends[:-1]])
+    windows = ends - start - length + 1
+    of = np.repeat(np.arange(len(ends)), windows)
+    at = np.arange(len(of)) + np.repeat(start - (np.cumsum(windows) - windows), windows)
+    first = np.flatnonzero(np.concatenate([[True], (of[1:] != of[:-1]) | (place[at[1:]] != place[at[:-1]])]))
+    own = of[first]
+    return mix64(h[place[at[first]]] ^ mix64(key[own], 3)) >> np.uint64(8), own, at[first] - start[own], np.diff(np.append(first, len(of)))
 
 
 def _stretches(length: int, bodies: list[bytes]):
@@ -91,7 +115,7 @@ def _ids(docs: pa.Table) -> tuple[np.ndarray, list[bytes]]:
 
 
 def _tell(length: int, buckets: int):
-    """Round one, chunks: the smallest and largest document of each minimizer."""
+    """Round one, chunks: the smallest and largest document of each minimizer, and its stretches."""
 
     def emit(chunk: int, docs: pa.Table):
         ids, bodies = _ids(docs)
@@ -100,24 +124,27 @@ def _tell(length: int, buckets: int):
         h, d = h[order], ids[k[order]]
         first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, np.int64)
         if len(h):
-            yield from exchange.by_bucket((h[first] % np.uint64(buckets)).astype(np.int64), h[first], lo := np.minimum.reduceat(d, first), np.maximum.reduceat(d, first) - lo)
+            many = np.diff(np.append(first, len(h))).astype(np.uint32)
+            yield from exchange.by_bucket((h[first] % np.uint64(buckets)).astype(np.int64), h[first], lo := np.minimum.reduceat(d, first), np.maximum.reduceat(d, first) - lo, many)
 
     return emit
 
 
 def _shared(bucket: int, got: list[tuple[int, bytes]]):
-    """Round one, buckets: which minimizers more than one document has, to all chunks that have them."""
-    parts = [exchange.unpack(load, 3) for _, load in got]
+    """Round one, buckets: which minimizers more than one document has, and which are hot, to all chunks that have them."""
+    parts = [exchange.unpack(load, 4) for _, load in got]
     h = np.concatenate([p[0] for p in parts])
     lo = np.concatenate([p[1] for p in parts])
     hi = lo + np.concatenate([p[2] for p in parts])
+    many = np.concatenate([p[3] for p in parts]).astype(np.int64)
     sender = np.repeat(np.arange(len(got)), [len(p[0]) for p in parts])
     order = np.argsort(h, kind="stable")
-    h, lo, hi, sender = h[order], lo[order], hi[order], sender[order]
+    h, lo, hi, many, sender = h[order], lo[order], hi[order], many[order], sender[order]
     first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-    many = np.minimum.reduceat(lo, first) < np.maximum.reduceat(hi, first)
-    keep = np.repeat(many, np.diff(np.append(first, len(h))))
-    for at, blob in exchange.by_bucket(sender[keep], h[keep]):
+    size = np.diff(np.append(first, len(h)))
+    keep = np.repeat(np.minimum.reduceat(lo, first) < np.maximum.reduceat(hi, first), size)
+    hot = np.repeat(np.add.reduceat(many, first) > HOT, size).astype(np.uint8)
+    for at, blob in exchange.by_bucket(sender[keep], h[keep], hot[keep]):
         yield got[at][0], blob
 
 
@@ -129,10 +156,23 @@ def _send(length: int, buckets: int):
             return exchange.rows_of(chunk, iter(()))
         ids, bodies = _ids(docs)
         h, k, begin, windows = _stretches(length, bodies)
-        wanted = np.sort(np.concatenate([exchange.unpack(load, 1)[0] for _, load in got]))
+        parts = [exchange.unpack(load, 2) for _, load in got]
+        wanted, hot = (np.concatenate([p[i] for p in parts]) for i in range(2))
+        order = np.argsort(wanted, kind="stable")
+        wanted, hot = wanted[order], hot[order]
         at = np.minimum(np.searchsorted(wanted, h), len(wanted) - 1)
         keep = wanted[at] == h
-        h, k, begin, size = h[keep], k[keep], begin[keep], windows[keep] + length - 1
+        h, k, begin, size, hot = h[keep], k[keep], begin[keep], windows[keep] + length - 1, hot[at[keep]] == 1
+        if hot.any():
+            cold = ~hot
+            found = [(h[cold], k[cold], begin[cold], size[cold])]
+            rows = np.flatnonzero(hot)
+            for i in range(0, len(rows), 8192):
+                r = rows[i : i + 8192]
+                raw = np.frombuffer(b"".join([bodies[a][b : b + c] for a, b, c in zip(k[r].tolist(), begin[r].tolist(), size[r].tolist(), strict=True)]), np.uint8)
+                key, own, at, n = split(raw, np.cumsum(size[r]), h[r], length)
+                found.append((key, k[r][own], begin[r][own] + at, n + length - 1))
+            h, k, begin, size = (np.concatenate(x) for x in zip(*found, strict=True))
         return exchange.rows_of(chunk, messages(ids, bodies, h, k, begin, size))
 
     def messages(ids, bodies, h, k, begin, size):
