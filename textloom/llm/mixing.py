@@ -3,10 +3,13 @@
 Every source gets a target number of words: a share by weight of ``factor`` times all words, stopped at
 ``most`` times the source's own words, the excess reshared by weight until no source is above. A
 document's expected copies are target / words of its source; the whole part is taken at once, and the
-fractional parts are rounded together. The pivotal step takes two documents with fractions p and q and
-word counts a and b and moves words from one to the other, in a random direction with the odds that keep
-both expectations, until one of the fractions is 0 or 1. Words are conserved at every step, so a source
-misses its target by less than one document's words.
+fractional parts are rounded together, longest first. The pivotal step pairs the longest open document, of
+fraction p and a words, with the next shorter ones: with probability p its fraction becomes 1 and the (1 - p) a
+words come from them, else it becomes 0 and its p a words go to them, in the same proportions both ways, which
+keeps every document's expectation. So the longest document is settled at once, wherever the shorter ones
+together have room for its words; where they have not, it moves words with the next one alone until one of the
+two is settled. Words are conserved at every step, so a source misses its target by less than the words of
+the one document that is left open at the end, a short one.
 
 The steps run as a reduction tree: documents fall by a hash into leaves of their source, every leaf
 leaves at most one fraction behind, and those meet ``FAN`` leaves at a time on the next level. No source,
@@ -14,8 +17,9 @@ however large, is ever in one task: a leaf has about ``LEAF`` documents. All cha
 document ids and the seed, so reruns agree whatever the partitioning.
 
 Null texts have no words; documents without words are never taken. A null source is a source of its own
-and sorts last. Rows with the same id and text are taken in any order among themselves. An empty table
-gives an empty result.
+and sorts last. Rows with the same id and text are rows of their own, taken in any order among themselves.
+Texts of any length count whole. Further columns, whatever their names, are not looked at (repeat_rows()
+carries them along). An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -70,38 +74,44 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = (3.0, 1.0, 2.0), fact
 
 
 def pivotal(fraction: np.ndarray, size: np.ndarray, chance: np.ndarray) -> tuple[np.ndarray, int]:
-    """Rounded fractions and the index of the one that stays open, or -1.
-
-    The open document meets the next one; ``chance`` of the next decides which way the words go.
-    """
-    out = fraction.copy()
-    held = -1
-    for i in range(len(out)):
-        if out[i] <= _NEAR or out[i] >= 1 - _NEAR:
-            out[i] = round(out[i])
-            continue
-        if held < 0:
-            held = i
-            continue
-        p, q, a, b = out[held], out[i], size[held], size[i]
-        up = min((1 - p) * a, q * b)  # words that can go to the held one
-        down = min(p * a, (1 - q) * b)
-        move = up if chance[i] * (up + down) < down else -down
-        p, q = p + move / a, q - move / b
-        p = float(round(p)) if p <= _NEAR or p >= 1 - _NEAR else p
-        q = float(round(q)) if q <= _NEAR or q >= 1 - _NEAR else q
-        out[held], out[i] = p, q
-        open_held, open_new = 0 < p < 1, 0 < q < 1
-        held = held if open_held else i if open_new else -1
-    return out, held
+    """Rounded fractions, and the index of the one that stays open, or -1; documents come longest first."""
+    out = np.where((fraction <= _NEAR) | (fraction >= 1 - _NEAR), np.round(fraction), fraction)
+    open_ = np.flatnonzero((out > 0) & (out < 1)).tolist()
+    at = 0  # open_[:at] is done with
+    while len(open_) - at > 1:
+        i = open_[at]
+        p, a = float(out[i]), float(size[i])
+        # Words by which each partner moves for each word of the longest one, as far as its room goes both ways.
+        partners, room, n = [], 0.0, at + 1
+        while n < len(open_) and room < a:
+            j = open_[n]
+            most = min(out[j] * size[j] / (1 - p), (1 - out[j]) * size[j] / p, a - room)
+            partners.append((j, most))
+            room += most
+            n += 1
+        up = chance[i] < p
+        if room >= a * (1 - 1e-12):
+            for j, w in partners:
+                out[j] += (-(1 - p) if up else p) * w / size[j]
+            out[i] = 1.0 if up else 0.0
+        else:
+            j, b = open_[at + 1], float(size[open_[at + 1]])
+            q = float(out[j])
+            most_up, most_down = min((1 - p) * a, q * b), min(p * a, (1 - q) * b)
+            move = most_up if chance[j] * (most_up + most_down) < most_down else -most_down
+            out[i], out[j] = p + move / a, q - move / b
+            partners = [(j, 0.0)]
+        for j in (i, *(j for j, _ in partners)):
+            if out[j] <= _NEAR or out[j] >= 1 - _NEAR:
+                out[j] = round(out[j])
+        tail = [j for j in open_[at : at + 1 + len(partners)] if 0 < out[j] < 1]
+        at += 1 + len(partners) - len(tail)
+        open_[at : at + len(tail)] = tail
+    return out, open_[at] if at < len(open_) else -1
 
 
 def _rounder(seed: int, level: int):
-    """Rounds a group's documents, long ones first; the open one keeps its fraction for the next level.
-
-    A long document that is open settles while many shorter ones pass by, so that a short one is left at
-    the end and the target is missed by little.
-    """
+    """Rounds a group's documents, long ones first; the open one keeps its fraction for the next level."""
 
     def settle(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["size", "slot"], ascending=[False, True], kind="stable").reset_index(drop=True)
@@ -134,6 +144,11 @@ def mix(
 ) -> DataFrame:
     """(key, source, size, source_size, target, copies) of every document; copies is how often it is taken."""
     own = docs.select(F.col(f"`{key}`").alias("id"), F.col(f"`{source}`").cast("string").alias("source"), words(F.col(f"`{text}`").cast("string")).alias("size"))
+    return mix_sizes(own, key, weights, factor, most, seed)
+
+
+def mix_sizes(own: DataFrame, key: str, weights: tuple[float, ...] = (3.0, 1.0, 2.0), factor: float = 1.5, most: float = 2.0, seed: int = 7) -> DataFrame:
+    """mix() of (id, source, size)."""
     kind = dict(own.dtypes)["id"]
     sizes = cut(own)
     goal = cut(targets(sizes.select("source", "size"), weights, factor, most).withColumnRenamed("source", "of"))
@@ -175,11 +190,22 @@ def mix(
 
 
 def repeat_rows(docs: DataFrame, text: str = "text", source: str = "source", key: str = "doc_id", **how) -> DataFrame:
-    """The documents with all their columns, each as often as the mix takes it; rows alike in id and text are taken alike."""
-    name = F.concat_ws(":", F.col(f"`{key}`").cast("string"), F.xxhash64(F.col(f"`{text}`")).cast("string"))
-    own = docs.withColumn("textloom_mix_key", name)
-    copies = mix(own, text, source, "textloom_mix_key", **how).select(F.col("textloom_mix_key").alias("textloom_mix_of"), "copies")
-    copies = copies.groupBy("textloom_mix_of").agg(F.max("copies").alias("textloom_copies")).filter("textloom_copies > 0")
-    joined = own.join(copies, F.col("textloom_mix_key") == F.col("textloom_mix_of"))
-    again = joined.withColumn("textloom_copy", F.explode(F.sequence(F.lit(1), F.col("textloom_copies").cast("int"))))
-    return again.select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The documents with all their columns, each row as often as the mix takes it.
+
+    Rows that are equal in all columns stand for each other: n of them that are taken c times together give
+    c // n copies each and the rest from one of them, so no group of equal rows is ever numbered in one task.
+    """
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    plain = docs.toDF(*names)
+    column = dict(zip(docs.columns, names, strict=True))
+    body, of = F.col(column[text]).cast("string"), F.col(column[source]).cast("string")
+    same = F.concat_ws(":", F.coalesce(F.col(column[key]).cast("string"), F.lit("")), F.xxhash64(*names).cast("string"), F.xxhash64(F.lit(1), *names).cast("string"))
+    per = cut(plain.select(same.alias("same"), words(body).alias("size"), of.alias("source")).groupBy("same").agg(F.count("*").alias("n"), F.first("size").alias("size"), F.first("source").alias("source")))
+    each = per.select(F.concat_ws("#", "same", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))).cast("string")).alias("id"), "source", "size")
+    taken = mix_sizes(each, "id", **how).filter("copies > 0").groupBy(F.substring_index("id", "#", 1).alias("same")).agg(F.sum("copies").alias("taken"))
+    taken = taken.join(per.select("same", "n"), "same").select(F.col("same").alias("of"), F.expr("cast(taken div n as int)").alias("low"), F.expr("cast(taken % n as int)").alias("more"))
+    keyed = plain.withColumn("same", same)
+    again = lambda rows, n: rows.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col(n)))).select(*names)
+    whole = again(keyed.join(taken.filter("low > 0"), F.col("same") == F.col("of")), "low")
+    rest = again(keyed.join(taken.filter("more > 0"), F.col("same") == F.col("of")).dropDuplicates(["same"]), "more")
+    return whole.unionByName(rest).toDF(*docs.columns)
