@@ -201,11 +201,13 @@ def repeat_rows(docs: DataFrame, text: str = "text", source: str = "source", key
     body, of = F.col(column[text]).cast("string"), F.col(column[source]).cast("string")
     same = F.concat_ws(":", F.coalesce(F.col(column[key]).cast("string"), F.lit("")), F.xxhash64(*names).cast("string"), F.xxhash64(F.lit(1), *names).cast("string"))
     per = cut(plain.select(same.alias("same"), words(body).alias("size"), of.alias("source")).groupBy("same").agg(F.count("*").alias("n"), F.first("size").alias("size"), F.first("source").alias("source")))
-    each = per.select(F.concat_ws("#", "same", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))).cast("string")).alias("id"), "source", "size")
+    each = per.withColumn("i", F.explode(F.sequence(F.lit(1), F.col("n").cast("int")))).select(F.concat_ws("#", "same", F.col("i").cast("string")).alias("id"), "source", "size")
     taken = mix_sizes(each, "id", **how).filter("copies > 0").groupBy(F.substring_index("id", "#", 1).alias("same")).agg(F.sum("copies").alias("taken"))
-    taken = taken.join(per.select("same", "n"), "same").select(F.col("same").alias("of"), F.expr("cast(taken div n as int)").alias("low"), F.expr("cast(taken % n as int)").alias("more"))
+    taken = cut(taken.join(per.select("same", "n"), "same").select(F.col("same").alias("of"), F.expr("cast(taken div n as int)").alias("low"), F.expr("cast(taken % n as int)").alias("more")))
     keyed = plain.withColumn("same", same)
     again = lambda rows, n: rows.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col(n)))).select(*names)
     whole = again(keyed.join(taken.filter("low > 0"), F.col("same") == F.col("of")), "low")
+    if taken.filter("more > 0").isEmpty():  # as it is without equal rows
+        return whole.toDF(*docs.columns)
     rest = again(keyed.join(taken.filter("more > 0"), F.col("same") == F.col("of")).dropDuplicates(["same"]), "more")
     return whole.unionByName(rest).toDF(*docs.columns)
