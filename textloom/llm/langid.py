@@ -28,6 +28,8 @@ from textloom.llm.common import codepoints, slices, utf8_column
 
 #: Hash buckets of n-grams; documents a language in the training sample, at most about.
 DIMENSIONS, SAMPLE_EACH = 1 << 15, 500
+#: Tasks that count document frequencies, at most: each sends DIMENSIONS rows.
+COUNTERS = 4096
 _SLICE = 1 << 20
 
 
@@ -196,7 +198,7 @@ def fit(docs: DataFrame, text: str, lang: str, key: str, seed: int = 5) -> Model
     each = own.groupBy("l").count().collect()  # a row a language
     if not each:
         return None
-    frequency = {r["feature"]: r["df"] for r in own.select("t").mapInArrow(_count_batches, "feature int, df long").groupBy("feature").agg(F.sum("df").alias("df")).collect()}
+    frequency = {r["feature"]: r["df"] for r in own.select("t").coalesce(COUNTERS).mapInArrow(_count_batches, "feature int, df long").groupBy("feature").agg(F.sum("df").alias("df")).collect()}
     df = np.array([frequency.get(i, 0) for i in range(DIMENSIONS + 1)], np.float64)
     idf = np.log((1 + df[-1]) / (1 + df[:-1])) + 1
     # Rows whose hash is below a language's share: about SAMPLE_EACH of each, whatever the table's size.

@@ -1,19 +1,23 @@
 """Quality classifier by co-training.
 
-Two views of a document: its content (hashed character 1- to 3-grams, case kept by a second hash of the
-shape of the text) and its page metadata (length, lines, their lengths, shares of upper case, digits and
-punctuation, words' lengths and how many of them differ, source and language by hash). A logistic
-classifier of each view is fitted on labelled documents. Over rounds, each labels the unlabelled documents
-that it is most sure of, the same number for every class in proportion to the labelled classes, and the
+Two views of a document that share no input: its text (hashed character 1- to 3-grams, and the shapes of its
+bytes), and the page's metadata beside the text (source, language and the recorded number of characters, by
+hash and by powers of two). A logistic classifier of each view is fitted on labelled documents. Both score all
+documents; those that either is most sure of are the pool. Over rounds, each view labels the documents of
+the pool that it is most sure of, the same number for every class in proportion to the labelled classes, and the
 other one learns from those too. At the end both views are calibrated on labelled documents that were held
-out (Platt's method), and a document's quality is the mean of the calibrated logits.
-
-Fitting uses bounded samples, drawn by hash: at most about ``LABELLED`` labelled and ``UNLABELLED``
-unlabelled documents. All documents are scored on their whole texts in one pass without a shuffle.
-
-Null and empty texts get quality 0 and are rejected. Null labels and labels of unknown documents are left
-out; without labels of both classes nothing is learned, quality is null and every text is accepted.
-Repeated rows are scored alike; an empty table gives an empty result.
+out (Platt's method), and as the views are taken as independent given the class, a document's quality has the
+sum of both logits less that of the share of good labels, which both contain.
+
+The labelled sample is bounded: about ``LABELLED`` documents, drawn by hash. The pool has the ``ROUNDS * EACH``
+different texts of all documents that a view is surest of, for each view and class. All documents are scored
+on their whole texts, without a shuffle of texts.
+
+Null and empty texts get quality 0 and are rejected. Null labels, labels other than 0 and 1 and labels of unknown
+documents are left out; of several labels of a document the highest counts. Without labels of both classes
+nothing is learned, quality is null and every text that is not empty is accepted. Null or missing metadata is a
+value of its own. Repeated rows are scored alike; further columns, whatever their names, are not looked at; an
+empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -26,35 +30,21 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import utf8_column
+from textloom.llm.common import cut, utf8_column
 from textloom.llm.langid import DIMENSIONS, ngrams
 
-#: Sample bounds, about; rounds of co-training; pseudo-labels a round and view.
-LABELLED, UNLABELLED, ROUNDS, EACH = 3000, 2000, 4, 200
-#: Hash places for source and language among the metadata, and the number of measured ones.
-_HASHED, _MEASURED = 32, 12
+#: Labelled documents, about; rounds of co-training; pseudo-labels a round and view.
+LABELLED, ROUNDS, EACH = 3000, 4, 200
+#: Hash places of source and of language, and powers of two of the size.
+_HASHED, _SIZES = 64, 24
+_META = 2 * _HASHED + _SIZES + 1
 _SHAPES = 16
 
 
-def metadata(text: str, source: str | None, lang: str | None, n_chars: int | None) -> np.ndarray:
-    """The page-metadata view of one document."""
-    n = max(1, len(text))
-    words = text.split()
-    w = max(1, len(words))
-    lines = text.split("\n")
-    raw = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
-    upper = np.count_nonzero((raw >= 65) & (raw <= 90))
-    lower = np.count_nonzero((raw >= 97) & (raw <= 122))
-    digit = np.count_nonzero((raw >= 48) & (raw <= 57))
-    mark = np.count_nonzero((raw > 32) & (raw < 127)) - upper - lower - digit
-    out = np.zeros(_MEASURED + _HASHED)
-    out[:_MEASURED] = (
-        np.log1p(n), np.log1p(w), np.log1p(len(lines)), np.log1p(n / len(lines)), 10 * mark / n, 10 * upper / n, 10 * digit / n,
-        len(words) and sum(map(len, words)) / w, 5 * len(set(words)) / w, 5 * len(set(lines)) / len(lines), 5 * len(set(map(str.lower, words))) / np.sqrt(w), np.sign((n_chars or n) - n),
-    )
-    for x in (f"s:{source}", f"l:{lang}"):
-        out[_MEASURED + crc32(x.encode()) % _HASHED] += 0.1
-    return out
+def metadata(source: str | None, lang: str | None, size: int | None) -> np.ndarray:
+    """The page-metadata view of one document: the places of its three features."""
+    power = _SIZES if size is None or size < 0 else min(int(size).bit_length(), _SIZES - 1)
+    return np.array([crc32(f"s:{source}".encode()) % _HASHED, _HASHED + crc32(f"l:{lang}".encode()) % _HASHED, 2 * _HASHED + power])
 
 
 def content(raw: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -151,43 +141,53 @@ def cotrain(view_a: list, view_b: list, ys: np.ndarray, sizes: tuple[int, int],
 
 
 class Model:
-    def __init__(self, a: Logistic, b: Logistic, mean: np.ndarray, spread: np.ndarray, cal: tuple[tuple[float, float], tuple[float, float]]):
+    """Both views' weights, with (a, b) of their calibrated logits a * score + b, and the logit they share."""
+
+    def __init__(self, a: Logistic, b: Logistic, cal: tuple[tuple[float, float], tuple[float, float]] = ((1.0, 0.0), (1.0, 0.0)), prior: float = 0.0):
         self.table, self.shape, self.bias = np.append(a.w[:DIMENSIONS], 0.0), a.w[DIMENSIONS:], a.b
-        self.meta, self.meta_bias, self.mean, self.spread, self.cal = b.w, b.b, mean, spread, cal
+        self.meta, self.meta_bias, self.cal, self.prior = b.w, b.b, cal, prior
 
-    def score(self, batch: pa.RecordBatch) -> np.ndarray:
-        """Calibrated quality of (.., text, source, lang, n_chars) rows; nan for texts without anything."""
+    def views(self, batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        """Scores of (.., text, source, lang, n_chars) rows by either view; nan for texts without anything."""
         raw, offsets, _ = utf8_column(batch.column(1))
-        out = np.full(batch.num_rows, np.nan)
-        source, lang, size = (batch.column(i).to_pylist() for i in (2, 3, 4))
+        first = np.full(batch.num_rows, np.nan)
         for rows, ids, begin, _ in ngrams(raw, offsets):
             grams = np.maximum(1, np.add.reduceat((ids < DIMENSIONS).astype(np.int32), begin))
-            first = np.add.reduceat(self.table[ids], begin) / grams * _SCALE + self.bias
-            for k, r in enumerate(rows.tolist()):
-                own = raw[offsets[r] : offsets[r + 1]]
-                first[k] += shape(own) @ self.shape
-                m = (metadata(own.tobytes().decode("utf-8", "replace"), source[r], lang[r], size[r]) - self.mean) / self.spread
-                second = m @ self.meta + self.meta_bias
-                (a1, b1), (a2, b2) = self.cal
-                out[r] = ((a1 * first[k] + b1) + (a2 * second + b2)) / 2
-        return 1 / (1 + np.exp(-np.clip(out, -30, 30)))
+            first[rows] = np.add.reduceat(self.table[ids], begin) / grams * _SCALE + self.bias
+            for r in rows.tolist():
+                first[r] += shape(raw[offsets[r] : offsets[r + 1]]) @ self.shape
+        known: dict[tuple, float] = {}
+        second = np.empty(batch.num_rows)
+        for r, facts in enumerate(zip(*(batch.column(i).to_pylist() for i in (2, 3, 4)), strict=True)):
+            if facts not in known:
+                known[facts] = float(self.meta[metadata(*facts)].sum()) + self.meta_bias
+            second[r] = known[facts]
+        return first, second
+
+    def score(self, batch: pa.RecordBatch) -> np.ndarray:
+        first, second = self.views(batch)
+        (a1, b1), (a2, b2) = self.cal
+        return 1 / (1 + np.exp(-np.clip((a1 * first + b1) + (a2 * second + b2) - self.prior, -30, 30)))
 
 
 def _views(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(slot, label, ids, values, meta) of sample rows."""
     for b in batches:
         raw, offsets, _ = utf8_column(b.column(2))
-        source, lang, size = (b.column(i).to_pylist() for i in (3, 4, 5))
+        facts = list(zip(*(b.column(i).to_pylist() for i in (3, 4, 5)), strict=True))
         rows, ids, values, meta = [], [], [], []
         for r, at, x in content(raw, offsets):
             rows.append(r)
             ids.append(at.astype(np.int32).tobytes())
             values.append(x.astype(np.float32).tobytes())
-            meta.append(metadata(raw[offsets[r] : offsets[r + 1]].tobytes().decode("utf-8", "replace"), source[r], lang[r], size[r]).tobytes())
+            meta.append(metadata(*facts[r]).astype(np.int32).tobytes())
         part = b.take(pa.array(rows, pa.int64()))
         yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(ids, pa.binary()), pa.array(values, pa.binary()), pa.array(meta, pa.binary())], names=["slot", "label", "ids", "vals", "meta"])
 
 
+_SAMPLE = "slot long, label int, ids binary, vals binary, meta binary"
+
+
 def _columns(docs: DataFrame, key: str) -> list[Column]:
     """Key, text and metadata; a column that is not there counts as null."""
     have = {c.lower() for c in docs.columns}
@@ -203,7 +203,6 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", label: str = "q
     counts = {r["y"]: r["count"] for r in known.groupBy("y").count().collect()}  # two rows
     if len(counts) < 2:
         return None
-    total = docs.count()
     # Of the rarer class twice its share, so that it is learned from enough documents.
     share = {y: min(1.0, LABELLED / 2 / n) for y, n in counts.items()}
     chosen = known.filter(slot < F.when(F.col("y") == 1, int(share[1] * 1_000_003)).otherwise(int(share[0] * 1_000_003)))
@@ -211,24 +210,54 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", label: str = "q
     slot_k = F.xxhash64(F.lit(seed), "k")
     chosen = chosen.limit(2 * LABELLED)
     labelled = own.join(F.broadcast(chosen), F.col("k") == F.col("lk")).select(slot_k.alias("slot"), "y", "t", "s", "l", "n")
-    drawn = own.filter(F.pmod(F.xxhash64(F.lit(seed + 1), "k"), F.lit(1_000_003)) < int(1_000_003 * min(1.0, 1.3 * UNLABELLED / max(1, total))))
-    open_ = drawn.join(F.broadcast(chosen), F.col("k") == F.col("lk"), "left_anti").select(slot_k.alias("slot"), F.lit(-1).alias("y"), "t", "s", "l", "n")
-    rows = labelled.unionByName(open_).mapInArrow(_views, "slot long, label int, ids binary, vals binary, meta binary").collect()
+    rows = labelled.mapInArrow(_views, _SAMPLE).collect()
     rows.sort(key=lambda r: (r["slot"], r["label"], r["ids"]))
     ys = np.array([r["label"] for r in rows])
     held = (ys >= 0) & (np.arange(len(ys)) % 4 == 3)
     if not all(((ys == c) & ~held).any() for c in (0, 1)):
         return None
-    a = [(np.frombuffer(r["ids"], np.int32), np.frombuffer(r["vals"], np.float32).astype(np.float64)) for r in rows]
-    m = np.array([np.frombuffer(r["meta"], np.float64) for r in rows])
-    mean, spread = m.mean(0), np.maximum(0.05, m.std(0))
-    every = np.arange(m.shape[1])
-    b = [(every, x) for x in (m - mean) / spread]
-    learn = np.flatnonzero(~held)
-    model_a, model_b, _ = cotrain([a[i] for i in learn], [b[i] for i in learn], ys[learn], (DIMENSIONS + _SHAPES, m.shape[1]))
-    test = np.flatnonzero(held)
+    a, b = _features(rows)
+    learn, test = np.flatnonzero(~held), np.flatnonzero(held)
+    sizes = (DIMENSIONS + _SHAPES, _META)
+    first = cotrain([a[i] for i in learn], [b[i] for i in learn], ys[learn], sizes, 0)
+    rows = _pool(own, Model(first[0], first[1]), chosen, slot_k)
+    rows.sort(key=lambda r: (r["slot"], r["ids"]))
+    more_a, more_b = _features(rows)
+    model_a, model_b, _ = cotrain([a[i] for i in learn] + more_a, [b[i] for i in learn] + more_b, np.concatenate([ys[learn], np.full(len(rows), -1)]), sizes)
     cal = tuple(platt(x.score([v[i] for i in test]), ys[test]) for x, v in ((model_a, a), (model_b, b)))
-    return Model(model_a, model_b, mean, spread, cal)
+    good = (ys[test].sum() + 1) / (len(test) + 2)
+    return Model(model_a, model_b, cal, float(np.log(good / (1 - good))))
+
+
+def _features(rows: list) -> tuple[list, list]:
+    a = [(np.frombuffer(r["ids"], np.int32), np.frombuffer(r["vals"], np.float32).astype(np.float64)) for r in rows]
+    return a, [(np.frombuffer(r["meta"], np.int32), np.ones(3)) for r in rows]
+
+
+def _pool(own: DataFrame, model: Model, chosen: DataFrame, slot: Column) -> list:
+    """Features of the documents that a view is surest of, of all that are not in the labelled sample."""
+    spark = own.sparkSession
+    shared = spark.sparkContext.broadcast(model)  # DIMENSIONS numbers
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in batches:
+            first, second = shared.value.views(x)
+            yield pa.RecordBatch.from_arrays([x.column(0), x.column(5), pa.array(np.nan_to_num(first)), pa.array(np.nan_to_num(second))], names=["k", "h", "first", "second"])
+
+    kind = dict(own.dtypes)["k"]
+    body = F.xxhash64("t")
+    scored = own.filter("t <> ''").withColumn("h", body).mapInArrow(run, f"k {kind}, h long, first double, second double")
+    scored = scored.join(F.broadcast(chosen.select("lk")), F.col("k") == F.col("lk"), "left_anti")
+    texts = cut(scored.groupBy("h").agg(F.min_by(F.struct("first", "second", "k"), "k").alias("x")).select("h", "x.*"))
+    most = ROUNDS * EACH
+    sure = [texts.orderBy(o, "h").limit(most).select("h", "k") for name in ("first", "second") for o in (F.asc(name), F.desc(name))]
+    keys = sure[0]
+    for part in sure[1:]:
+        keys = keys.unionByName(part)
+    keys = keys.distinct().select(F.col("h").alias("ph"), F.col("k").alias("pk"))  # 4 * ROUNDS * EACH rows at most
+    rows = own.join(F.broadcast(keys), (F.col("k") == F.col("pk")) & (body == F.col("ph")))
+    rows = rows.groupBy("k").agg(F.min(F.struct("t", "s", "l", "n")).alias("x")).select("k", "x.*")  # of rows with one id and text
+    return rows.select(slot.alias("slot"), F.lit(-1).alias("y"), "t", "s", "l", "n").mapInArrow(_views, _SAMPLE).collect()
 
 
 def score(docs: DataFrame, model: Model | None, key: str = "doc_id", threshold: float = 0.5) -> DataFrame:
