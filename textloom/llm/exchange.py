@@ -99,14 +99,22 @@ def width(table: DataFrame) -> int:
     return table.__dict__["textloom_width"]
 
 
-def release(spark: SparkSession) -> None:
-    """Drops the tables that operators have stored and their folders. Call it when their results have been written."""
-    jvm = spark.sparkContext._jvm
-    while _MADE:
-        name, folder = _MADE.popitem()
+def made() -> set[str]:
+    """The tables that stored() has made and release() has not dropped."""
+    return set(_MADE)
+
+
+def remove_folder(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def release(spark: SparkSession, but: set[str] = frozenset()) -> None:
+    """Drops the tables that operators have stored, and their folders, when all results that read them have been
+    written; tables named in ``but`` stay."""
+    for name in made() - but:
         spark.sql(f"DROP TABLE IF EXISTS {name}")
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        remove_folder(spark, _MADE.pop(name))
 
 
 def chunked(docs: DataFrame, chunks: int, text: str = "text", key: str = "doc_id", carry: bool = False) -> DataFrame:
