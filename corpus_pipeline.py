@@ -13,7 +13,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm import bpe, compact_windows, jaccard_forest, mixing, quality
+from textloom.llm import bpe, compact_windows, exchange, jaccard_forest, mixing, quality
 from textloom.llm.common import checkpoint_dir, table
 
 
@@ -58,8 +58,12 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     folder = f"{checkpoint_dir(spark).rstrip('/')}/pipeline_{uuid.uuid4().hex}"
+    before = exchange.made()
     for i, (_, stage) in enumerate(STAGES):
         path = f"{folder}/{i}"
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        exchange.release(spark, before)  # what the stage stored, and what the one before it wrote, is not read again
+        if i:
+            exchange.remove_folder(spark, f"{folder}/{i - 1}")
     return docs
