@@ -13,7 +13,6 @@ from textloom.functions import text as X
 from textloom.functions import times as D
 from textloom.functions import urls as U
 from textloom.operators import corpus as C
-from textloom.operators import dedupe as DD
 from textloom.operators import evolution as E
 from textloom.operators import places as P
 from textloom.operators import semantics as S
@@ -33,7 +32,9 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
-_PHASE_SQL = "CASE " + " ".join(f"WHEN d BETWEEN date '{a}' AND date '{b}' THEN '{n}'" for n, a, b in D.PHASES) + " END"
+_PHASE_SQL = """CASE WHEN d BETWEEN date '2020-01-31' AND date '2020-11-30' THEN 'P1_global_onset' WHEN d BETWEEN date '2020-12-01' AND date '2020-12-31' THEN 'P2_pre_vaccine'
+ WHEN d BETWEEN date '2021-01-01' AND date '2021-05-31' THEN 'P3_vaccine_rollout' WHEN d BETWEEN date '2021-06-01' AND date '2021-11-30' THEN 'P4_delta_wave'
+ WHEN d BETWEEN date '2021-12-01' AND date '2022-06-30' THEN 'P5_omicron_wave' WHEN d BETWEEN date '2022-07-01' AND date '2023-05-05' THEN 'P6_transition_end' END"""
 _EVENT = f"ev AS (SELECT *, coalesce(publish_date, capture_date) AS d FROM docs), ph AS (SELECT *, coalesce({_PHASE_SQL}, 'outside_study') AS phase FROM ev)"
 _TIERED = """tiered AS (SELECT p.*, coalesce(r.tier, CASE p.collection_id WHEN 13559 THEN 'low' ELSE 'mixed' END) AS tier FROM ph p LEFT JOIN reg r ON p.host = r.domain)"""
 
@@ -141,28 +142,26 @@ def text_features(spark, sf):
     return T.read(spark, sf, "documents").select("doc_id", X.word_count(t).alias("n_words"), F.char_length(t).alias("n_code_points"), F.size(X.numbers(t)).alias("n_numbers"))
 
 
-@query(r"""WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+(?:[''’][\p{L}\p{N}]+)*') AS w FROM documents)
+@query(r"""WITH w AS (SELECT doc_id, regexp_extract_all(replace(lower(text), 'ß', 'ss'), '[\p{L}\p{N}]+(?:[''’][\p{L}\p{N}]+)*') AS w FROM documents)
 SELECT doc_id, CASE WHEN len(w) = 0 THEN 0 WHEN len(w) < 5 THEN 1 ELSE len(list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')))) END AS n_shingles FROM w""")
 def shingle_counts(spark, sf):
-    return T.read(spark, sf, "documents").select("doc_id", F.size(X.shingles(F.col("text"))).alias("n_shingles"))
+    return T.read(spark, sf, "documents").select("doc_id", F.size(X.shingles(X.normalize_text(F.col("text")))).alias("n_shingles"))
 
 
 @query(r"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS i FROM documents),
-n AS (SELECT *, replace(lower(trim(regexp_replace(line, '\s+', ' ', 'g'))), 'ß', 'ss') AS norm, len(list_filter(regexp_split_to_array(trim(line), '\s+'), lambda x: x <> '')) AS w FROM l),
+n AS (SELECT *, replace(lower(trim(regexp_replace(line, '\s+', ' ', 'g'))), 'ß', 'ss') AS norm, len(regexp_extract_all(line, '[\p{L}\p{N}]+(?:[''’][\p{L}\p{N}]+)*')) AS w FROM l),
 k AS (SELECT *, row_number() OVER (PARTITION BY doc_id, norm ORDER BY i) AS seen FROM n)
 SELECT doc_id, count(*) FILTER (w >= 20 AND seen > 1) AS n_removed FROM k GROUP BY 1""")
 def repeated_blocks(spark, sf):
-    lines = lambda c: F.size(F.filter(F.split(c, "\n"), lambda x: X.word_count(x) >= 20))
-    d = T.read(spark, sf, "documents")
-    return d.select("doc_id", (lines(F.col("text")) - lines(X.without_repeated_blocks(F.col("text")))).cast("long").alias("n_removed"))
+    return T.read(spark, sf, "documents").select("doc_id", X.without_repeated_blocks(F.col("text"))["removed"].alias("n_removed"))
 
 
 _HASH = r"sha256(replace(lower(trim(regexp_replace(text, '\s+', ' ', 'g'))), 'ß', 'ss'))"
 
 
-@query(f"WITH {T.DOCUMENTS} SELECT doc_id, min(doc_id) OVER (PARTITION BY collection_id, host, language, {_HASH}) AS representative FROM docs")
+@query(f"WITH {T.DOCUMENTS} SELECT doc_id, min(doc_id) OVER (PARTITION BY collection_id, host, month, language, {_HASH}) AS representative FROM docs")
 def exact_duplicates(spark, sf):
-    return C.exact_duplicates(T.documents(spark, sf), ["collection_id", "host", "language"]).select("doc_id", "representative")
+    return C.exact_duplicates(T.documents(spark, sf), ["collection_id", "host", "month", "language"]).select("doc_id", "representative")
 
 
 @query(f"WITH g AS (SELECT lang, count(*) AS k FROM documents GROUP BY lang, {_HASH}) SELECT lang, sum(k)::BIGINT AS n, count(*) AS n_groups, max(k) AS largest, round(1 - count(*) / sum(k), 6) AS redundancy FROM g GROUP BY 1")
@@ -215,66 +214,76 @@ def top_domains(spark, sf):
     return T.read(spark, sf, "pages").groupBy(F.lower(F.regexp_extract("url", r"^[^:]+://([^/?#]*)", 1)).alias("domain")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "domain").limit(20)
 
 
-@query(f"""WITH {T.CHUNKS}, g AS (SELECT * FROM (SELECT DISTINCT month FROM chunks), (VALUES ('low'), ('authoritative'), ('mixed')) t(tier)),
-u AS (SELECT month, tier, host, topic, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) AS u FROM chunks),
-e AS (SELECT month, tier, topic, unnest(u) AS x, unnest(range(1, len(u) + 1)) AS dim FROM u),
-s AS (SELECT month, tier, dim, sum(x) AS s FROM e GROUP BY ALL), q AS (SELECT month, tier, sum(s * s) AS q FROM s GROUP BY ALL),
-b AS (SELECT month, tier, count(*) AS n, count(DISTINCT host) AS hosts, count(*) FILTER (topic >= 0) AS a FROM u GROUP BY ALL),
-t AS (SELECT month, tier, topic, count(*) AS k FROM u WHERE topic >= 0 GROUP BY ALL), p AS (SELECT month, tier, k / sum(k) OVER (PARTITION BY month, tier) AS p FROM t),
-h AS (SELECT month, tier, -sum(p * log2(p)) AS h FROM p GROUP BY ALL),
-ts AS (SELECT month, tier, topic, dim, sum(x) AS s FROM e WHERE topic >= 0 GROUP BY ALL), tn AS (SELECT month, tier, topic, sqrt(sum(s * s)) AS norm FROM ts GROUP BY ALL), nn AS (SELECT month, tier, sum(norm) AS norms FROM tn GROUP BY ALL)
-SELECT month, tier, coalesce(n, 0) AS n_chunks, coalesce(hosts, 0) AS n_hosts, CASE WHEN n IS NULL THEN 'empty' WHEN n < 5 THEN 'too_small' ELSE 'ok' END AS status,
- round(CASE WHEN n >= 5 THEN greatest(0.0, least(2.0, 1 - (q - n) / (n * (n - 1)))) END, 6) AS dispersion, round(CASE WHEN n >= 5 AND a >= 5 THEN abs(h) END, 6) AS entropy_bits,
- round(CASE WHEN n >= 5 AND a >= 5 THEN pow(2.0, h) END, 6) AS effective_topics, round(CASE WHEN n >= 5 AND a >= 5 THEN norms / a END, 6) AS cohesion
-FROM g LEFT JOIN b USING (month, tier) LEFT JOIN q USING (month, tier) LEFT JOIN h USING (month, tier) LEFT JOIN nn USING (month, tier)""")
-def tier_metrics_month(spark, sf):
-    return S.tier_metrics(T.chunks(spark, sf), "month")
+def _metrics_sql(period: str) -> str:
+    return f"""WITH {T.CHUNKS}, g AS (SELECT * FROM (SELECT DISTINCT {period} AS period FROM chunks), (VALUES ('low'), ('authoritative'), ('mixed')) t(tier)),
+u AS (SELECT {period} AS period, tier, host, topic, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) AS u FROM chunks),
+e AS (SELECT period, tier, topic, unnest(u) AS x, unnest(range(1, len(u) + 1)) AS dim FROM u),
+s AS (SELECT period, tier, dim, sum(x) AS s FROM e GROUP BY ALL), q AS (SELECT period, tier, sum(s * s) AS q FROM s GROUP BY ALL),
+b AS (SELECT period, tier, count(*) AS n, count(DISTINCT host) AS hosts, count(*) FILTER (topic >= 0) AS a FROM u GROUP BY ALL),
+t AS (SELECT period, tier, topic, count(*) AS k FROM u WHERE topic >= 0 GROUP BY ALL), p AS (SELECT period, tier, k / sum(k) OVER (PARTITION BY period, tier) AS p FROM t),
+h AS (SELECT period, tier, abs(sum(p * log2(p))) AS h, count(*) AS m FROM p GROUP BY ALL), kk AS (SELECT count(DISTINCT topic) AS k FROM chunks WHERE topic >= 0),
+ts AS (SELECT period, tier, topic, dim, sum(x) AS s FROM e WHERE topic >= 0 GROUP BY ALL), tn AS (SELECT period, tier, topic, sqrt(sum(s * s)) AS norm FROM ts GROUP BY ALL), nn AS (SELECT period, tier, sum(norm) AS norms FROM tn GROUP BY ALL),
+cs AS (SELECT period, tier, dim, sum(s / norm) AS c FROM ts JOIN tn USING (period, tier, topic) GROUP BY ALL), cq AS (SELECT period, tier, sum(c * c) AS cq FROM cs GROUP BY ALL)
+SELECT period, tier, coalesce(n, 0) AS n_chunks, coalesce(a, 0) AS n_assigned, coalesce(hosts, 0) AS n_sources, coalesce(m, 0) AS n_topics, round(CASE WHEN n > 0 THEN a / n END, 6) AS assigned_fraction,
+ CASE WHEN n IS NULL THEN 'empty' WHEN n < 20 THEN 'too_small' ELSE 'ok' END AS status,
+ round(CASE WHEN n >= 20 THEN greatest(0.0, least(2.0, 1 - (q - n) / (n * (n - 1)))) END, 6) AS dispersion, round(CASE WHEN n >= 20 AND a >= 20 THEN norms / a END, 6) AS cohesion,
+ round(CASE WHEN n >= 20 AND a >= 20 AND m > 1 THEN greatest(0.0, least(2.0, 1 - (cq - m) / (m * (m - 1)))) END, 6) AS topic_spread, round(CASE WHEN n >= 20 AND a >= 20 THEN h END, 6) AS entropy_bits,
+ round(CASE WHEN n >= 20 AND a >= 20 THEN CASE WHEN k > 1 THEN h / log2(k) ELSE 0.0 END END, 6) AS entropy_normalized, round(CASE WHEN n >= 20 AND a >= 20 THEN pow(2.0, h) END, 6) AS effective_topics
+FROM g LEFT JOIN b USING (period, tier) LEFT JOIN q USING (period, tier) LEFT JOIN h USING (period, tier) LEFT JOIN nn USING (period, tier) LEFT JOIN cq USING (period, tier), kk"""
 
 
-_NEIGHBOURS = f"""WITH {T.CHUNKS}, u AS (SELECT *, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) AS u FROM chunks),
-j AS (SELECT a.point_id, b.point_id AS ref_id, round(greatest(0.0, least(2.0, 1 - list_dot_product(a.u, b.u))), 6) AS d FROM u a JOIN u b ON a.month = b.month AND b.tier = 'authoritative' AND a.host <> b.host),
-m AS (SELECT point_id, count(*) AS n, min(struct_pack(d := d, ref_id := ref_id)) AS best FROM j GROUP BY 1),
-r AS (SELECT c.point_id, c.month, c.tier, coalesce(n, 0) AS n_reference, CASE WHEN n >= 3 THEN best.d END AS distance, CASE WHEN n >= 3 THEN best.ref_id END AS neighbour, CASE WHEN n >= 3 THEN 'ok' ELSE 'insufficient' END AS status FROM chunks c LEFT JOIN m USING (point_id))"""
+_MEASURES = ("assigned_fraction", "dispersion", "cohesion", "topic_spread", "entropy_bits", "entropy_normalized", "effective_topics")
 
 
-@query(_NEIGHBOURS + " SELECT * FROM r")
-def authoritative_neighbours(spark, sf):
-    return S.authoritative_neighbours(T.chunks(spark, sf), "month")
+def _rounded(df: DataFrame, *names: str) -> DataFrame:
+    return df.withColumns({n: F.round(n, 6) for n in names})
 
 
-@query(_NEIGHBOURS + " SELECT month, tier, count(*) AS n, count(distance) AS n_matched, round(avg(distance), 6) AS mean, round(median(distance), 6) AS median, round(quantile_cont(distance, 0.9), 6) AS p90 FROM r GROUP BY ALL")
-def neighbour_summary(spark, sf):
-    return S.neighbour_summary(S.authoritative_neighbours(T.chunks(spark, sf), "month"), "month")
+@query(_metrics_sql("month"))
+def tier_metrics_month(spark, sf):
+    return _rounded(S.tier_metrics(T.chunks(spark, sf).withColumnRenamed("month", "period"), "period"), *_MEASURES)
 
 
-_TERMS = r"t AS (SELECT lang, unnest(regexp_extract_all(lower(text), '[a-z]{3,}')) AS term FROM documents), n AS (SELECT lang, term, count(*) AS n FROM t GROUP BY ALL)"
+@query(_metrics_sql("phase"))
+def tier_metrics_phase(spark, sf):
+    return _rounded(S.tier_metrics(T.chunks(spark, sf).withColumnRenamed("phase", "period"), "period"), *_MEASURES)
 
 
-@query(f"WITH {_TERMS} SELECT lang, term, n, row_number() OVER (PARTITION BY lang ORDER BY n DESC, term) AS rank FROM n QUALIFY rank <= 10")
-def top_words(spark, sf):
-    return S.top_terms(S.term_counts(T.read(spark, sf, "documents"), "lang"), "lang").select("lang", "term", "n", "rank")
+_NEIGHBOURS = f"""WITH {T.CHUNKS}, u AS (SELECT *, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) AS u FROM chunks),
+j AS (SELECT a.point_id, b.point_id AS ref_id, round(greatest(0.0, least(2.0, 1 - list_dot_product(a.u, b.u))), 9) AS d FROM u a JOIN u b ON a.phase = b.phase AND b.tier = 'authoritative' AND a.host <> b.host),
+m AS (SELECT point_id, count(*) AS n, min(struct_pack(d := d, ref_id := ref_id)) AS best FROM j GROUP BY 1),
+r AS (SELECT c.point_id, c.phase, c.tier, coalesce(n, 0) AS n_reference, CASE WHEN n >= 3 THEN best.d END AS distance, CASE WHEN n >= 3 THEN best.ref_id END AS neighbour, CASE WHEN n >= 3 THEN 'ok' ELSE 'insufficient_reference' END AS status FROM chunks c LEFT JOIN m USING (point_id)),
+y AS (SELECT phase, tier, count(*) AS n_queries, count(distance) AS n_matched, CASE WHEN count(distance) >= 20 THEN round(avg(distance), 6) END AS mean_distance, CASE WHEN count(distance) >= 20 THEN round(median(distance), 6) END AS median_distance,
+ CASE WHEN count(distance) >= 20 THEN round(quantile_cont(distance, 0.9), 6) END AS p90_distance FROM r GROUP BY ALL)"""
+
+
+def _near(spark: SparkSession, sf: str) -> DataFrame:
+    return S.authoritative_neighbours(T.chunks(spark, sf), "phase")
+
+
+@query(_NEIGHBOURS + " SELECT point_id, phase, tier, n_reference, round(distance, 6) AS distance, neighbour, status FROM r")
+def authoritative_neighbours(spark, sf):
+    return _rounded(_near(spark, sf), "distance")
 
 
-_SLICES = r"""t AS (SELECT source AS node, CAST(substr(source, 4) AS INTEGER) % 4 AS win, unnest(regexp_extract_all(lower(text), '[a-z]{3,}')) AS term FROM documents),
-n AS (SELECT node, win, term, count(*) AS k FROM t GROUP BY ALL), p AS (SELECT node, win, term, k / sum(k) OVER (PARTITION BY node) AS p FROM n),
-spine AS (SELECT win, lead(win) OVER (ORDER BY win) AS nxt FROM (SELECT DISTINCT win FROM p)), norm AS (SELECT node, sqrt(sum(p * p)) AS norm FROM p GROUP BY 1),
-d AS (SELECT a.node AS source, b.node AS target, sum(a.p * b.p) AS dot FROM p a JOIN spine s USING (win) JOIN p b ON b.win = s.nxt AND a.term = b.term GROUP BY ALL),
-edges AS (SELECT source, target, round(dot / (x.norm * y.norm), 6) AS similarity FROM d JOIN norm x ON x.node = source JOIN norm y ON y.node = target WHERE round(dot / (x.norm * y.norm), 6) >= 0.45)"""
+@query(_NEIGHBOURS + " SELECT * FROM y")
+def neighbour_summary(spark, sf):
+    return _rounded(S.neighbour_summary(_near(spark, sf), "phase"), "mean_distance", "median_distance", "p90_distance")
 
 
-def _slices(spark: SparkSession, sf: str) -> DataFrame:
-    d = T.read(spark, sf, "documents").select(F.col("source").alias("node"), "text")
-    return S.term_counts(d, "node").withColumn("window", F.expr("cast(substr(node, 4) as int) % 4"))
+@query(_NEIGHBOURS + f", z AS (SELECT period AS phase, tier, n_chunks, status, dispersion, entropy_normalized FROM ({_metrics_sql('phase')})) SELECT z.*, n_queries, n_matched, mean_distance, median_distance, p90_distance FROM z LEFT JOIN y USING (phase, tier)")
+def phase_report_join(spark, sf):
+    c = T.chunks(spark, sf)
+    m = S.tier_metrics(c, "phase").select("phase", "tier", "n_chunks", "status", "dispersion", "entropy_normalized")
+    return _rounded(S.phase_report(m, S.neighbour_summary(_near(spark, sf), "phase"), "phase"), "dispersion", "entropy_normalized", "mean_distance", "median_distance", "p90_distance")
 
 
-@query(f"WITH {_SLICES} SELECT * FROM edges")
-def topic_edges_cosine(spark, sf):
-    return S.topic_edges(_slices(spark, sf), 0.45)
+_TERMS = r"t AS (SELECT lang, unnest(regexp_extract_all(lower(text), '\p{L}{3,}')) AS term FROM documents), n AS (SELECT lang, term, count(*) AS n FROM t GROUP BY ALL)"
 
 
-@query(f"WITH {_SLICES}, f AS (SELECT * FROM edges QUALIFY row_number() OVER (PARTITION BY target ORDER BY similarity DESC, source) = 1) SELECT source, target, similarity, row_number() OVER (PARTITION BY source ORDER BY similarity DESC, target) = 1 AS continues FROM f")
-def primary_parents(spark, sf):
-    return S.primary_parents(S.topic_edges(_slices(spark, sf), 0.45))
+@query(f"WITH {_TERMS} SELECT lang, term, n, row_number() OVER (PARTITION BY lang ORDER BY n DESC, term) AS rank FROM n QUALIFY rank <= 10")
+def top_words(spark, sf):
+    return S.top_terms(S.term_counts(T.read(spark, sf, "documents"), "lang"), "lang").select("lang", "term", "n", "rank")
 
 
 @query(f"""WITH {T.DOCUMENTS}, {_EVENT}, s AS (SELECT min(d) AS a, max(d) AS b FROM ph), days AS (SELECT CAST(unnest(generate_series(a, b, INTERVAL 1 DAY)) AS DATE) AS e, b FROM s),
@@ -285,39 +294,8 @@ def trailing_window_counts(spark, sf):
     return f.groupBy(F.date_format("frame_end", "yyyy-MM-dd").alias("frame_end")).agg(F.count("*").alias("n"), F.count_distinct("host").alias("n_hosts"))
 
 
-@query(f"WITH {_SLICES}, m AS (SELECT a.node AS source, b.node AS target, sum(least(a.p, b.p)) AS lo FROM p a JOIN spine s USING (win) JOIN p b ON b.win = s.nxt AND a.term = b.term GROUP BY ALL) SELECT source, target, round(lo / (2 - lo), 6) AS similarity FROM m")
-def topic_edges_jaccard(spark, sf):
-    return E.shared_mass(_slices(spark, sf))
-
-
-@query(f"""WITH {_SLICES}, pairs AS (SELECT source, target, round(dot / (x.norm * y.norm), 6) AS sim FROM d JOIN norm x ON x.node = source JOIN norm y ON y.node = target),
-i AS (SELECT target AS node, max(sim) AS best, count(*) FILTER (sim >= 0.45) AS k FROM pairs GROUP BY 1), o AS (SELECT source AS node, count(*) FILTER (sim >= 0.45) AS k FROM pairs GROUP BY 1),
-nodes AS (SELECT DISTINCT node, win FROM p), ends AS (SELECT min(win) AS lo, max(win) AS hi FROM p)
-SELECT node, win AS "window", coalesce(i.k, 0) AS in_degree, coalesce(o.k, 0) AS out_degree, CASE WHEN win > lo THEN round(1 - coalesce(best, 0), 6) END AS novelty,
- CASE WHEN win > lo THEN coalesce(i.k, 0) = 0 END AS birth, CASE WHEN win < hi THEN coalesce(o.k, 0) = 0 END AS death FROM nodes LEFT JOIN i USING (node) LEFT JOIN o USING (node), ends""")
-def topic_events(spark, sf):
-    return E.topic_events(_slices(spark, sf), 0.45)
-
-
-@query(r"""WITH t AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '[a-z]{3,}')) AS term FROM documents), n AS (SELECT count(*) AS n FROM documents),
-v AS (SELECT term, count(*) AS df FROM t GROUP BY 1 HAVING df >= 3 AND df <= 0.8 * (SELECT n FROM n) ORDER BY df DESC, term LIMIT 60), h AS (SELECT t.* FROM t JOIN v USING (term)),
-c AS (SELECT x.term AS a, y.term AS b, count(*) AS together FROM h x JOIN h y ON x.doc_id = y.doc_id AND x.term < y.term GROUP BY ALL HAVING together >= 3)
-SELECT a, b, together, round(ln(together * n / (va.df * vb.df)) / -ln(together / n), 6) AS npmi FROM c JOIN v va ON va.term = a JOIN v vb ON vb.term = b, n
-WHERE together < n AND round(ln(together * n / (va.df * vb.df)) / -ln(together / n), 6) >= 0.15""")
-def term_field(spark, sf):
-    return E.term_field(T.read(spark, sf, "documents").select("doc_id", "text"), "doc_id", 60)
-
-
-@query(r"""WITH t AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '[a-z]{3,}')) AS term FROM documents), n AS (SELECT count(*) AS n FROM documents),
-v AS (SELECT term, count(*) AS df FROM t GROUP BY 1 HAVING df >= 3 AND df <= 0.8 * (SELECT n FROM n) ORDER BY df DESC, term LIMIT 1200), h AS (SELECT t.* FROM t JOIN v USING (term)),
-c AS (SELECT x.term AS a, y.term AS b, count(*) AS together FROM h x JOIN h y ON x.doc_id = y.doc_id AND x.term < y.term GROUP BY ALL HAVING together >= 3)
-SELECT a, b, together, round(ln(together * n / (va.df * vb.df)) / -ln(together / n), 6) AS npmi FROM c JOIN v va ON va.term = a JOIN v vb ON vb.term = b, n
-WHERE together < n AND round(ln(together * n / (va.df * vb.df)) / -ln(together / n), 6) >= 0.15""")
-def term_field_1200(spark, sf):
-    return E.term_field(T.read(spark, sf, "documents").select("doc_id", "text"), "doc_id", 1200)
-
-
-_STARTS = ", ".join(f"(date '{a}', '{n}')" for n, a, _ in D.PHASES)
+_STARTS = """(date '2020-01-31', 'P1_global_onset'), (date '2020-12-01', 'P2_pre_vaccine'), (date '2021-01-01', 'P3_vaccine_rollout'),
+ (date '2021-06-01', 'P4_delta_wave'), (date '2021-12-01', 'P5_omicron_wave'), (date '2022-07-01', 'P6_transition_end')"""
 
 
 @query(f"WITH {T.DOCUMENTS}, {_EVENT}, f AS (SELECT DISTINCT last_day(d) AS e FROM ph), ev2(event_date, event) AS (VALUES {_STARTS}) SELECT strftime(e, '%Y-%m-%d') AS frame_end, event, row_number() OVER (PARTITION BY e ORDER BY event_date DESC, event) AS rank FROM f JOIN ev2 ON event_date <= e QUALIFY rank <= 2")
@@ -343,10 +321,10 @@ def resume_antijoin(spark, sf):
     return C.resume(T.read(spark, sf, "documents"), T.read(spark, sf, "labels"), "doc_id").select("doc_id")
 
 
-@query("SELECT lang, count(*) AS n FROM (SELECT lang FROM documents WHERE lang NOT IN ('en', 'fr') UNION ALL SELECT lang FROM documents WHERE lang IN ('en', 'fr') AND doc_id % 2 = 0) GROUP BY 1")
+@query("SELECT lang, count(*) AS n, sum(v)::BIGINT AS total FROM (SELECT lang, n_chars AS v FROM documents WHERE lang NOT IN ('en', 'fr') UNION ALL SELECT lang, n_chars + 1 FROM documents WHERE lang IN ('en', 'fr')) GROUP BY 1")
 def window_overwrite_union(spark, sf):
-    d = T.read(spark, sf, "documents").select("doc_id", "lang")
-    return C.overwrite_windows(d, d.filter("doc_id % 2 = 0"), "lang", ["en", "fr"]).groupBy("lang").agg(F.count("*").alias("n"))
+    d = T.read(spark, sf, "documents").select("lang", F.col("n_chars").cast("long").alias("v"))
+    return C.overwrite_windows(d, d.withColumn("v", F.col("v") + 1), "lang", ["en", "fr"]).groupBy("lang").agg(F.count("*").alias("n"), F.sum("v").alias("total"))
 
 
 @query(f"WITH {T.DOCUMENTS} SELECT count(*) AS total, count(*) FILTER (fetch_status = 'ok') AS ok, round(count(*) FILTER (fetch_status <> 'ok') / count(*), 6) AS failed_fraction FROM docs")
@@ -405,35 +383,6 @@ def country_attention(spark, sf):
     return P.attention(docs, _collapsed(spark, sf), "article_id", ["tier"]).select("tier", "country_code", "n_articles", "n_mapped", F.round("percent", 6).alias("percent"))
 
 
-def _best_first() -> list:
-    return [F.when(F.col("fetch_status") == "ok", 0).otherwise(1).alias("failed"), (-F.char_length("text")).alias("length")]
-
-
-@query()
-def dedupe_decisions(spark, sf):
-    return DD.decisions(T.documents(spark, sf), "doc_id", ["language"], ["language", "host"], _best_first())
-
-
-@query(f"""WITH {T.DOCUMENTS}, h AS (SELECT *, {_HASH} AS hash, CASE WHEN fetch_status = 'ok' THEN 0 ELSE 1 END AS failed FROM docs),
-f AS (SELECT doc_id, first_value(doc_id) OVER (PARTITION BY language, hash ORDER BY failed, length(text) DESC, doc_id) AS best FROM h)
-SELECT doc_id, CASE WHEN best <> doc_id THEN 'exact' END AS reason, CASE WHEN best <> doc_id THEN best END AS representative FROM f""")
-def dedupe_exact(spark, sf):
-    return DD.decisions(T.documents(spark, sf), "doc_id", ["language"], ["language", "host"], _best_first(), 1.0)
-
-
-@query(f"WITH {_SLICES}, s AS (SELECT a.node AS source, b.node AS target, sum(a.p * log2(a.p / (a.p + b.p)) + b.p * log2(b.p / (a.p + b.p))) AS s FROM p a JOIN spine s USING (win) JOIN p b ON b.win = s.nxt AND a.term = b.term GROUP BY ALL) SELECT source, target, round(greatest(0.0, least(1.0, 1 + s / 2)), 6) AS divergence FROM s")
-def js_divergence(spark, sf):
-    return E.js_divergence(_slices(spark, sf)).withColumn("divergence", F.round("divergence", 6))
-
-
-@query(f"""WITH RECURSIVE {_SLICES}, f AS (SELECT * FROM edges QUALIFY row_number() OVER (PARTITION BY target ORDER BY similarity DESC, source) = 1),
-c AS (SELECT source, target FROM f QUALIFY row_number() OVER (PARTITION BY source ORDER BY similarity DESC, target) = 1),
-chain(node, track) AS (SELECT node, node FROM (SELECT DISTINCT node FROM p) WHERE node NOT IN (SELECT target FROM c) UNION ALL SELECT c.target, chain.track FROM chain JOIN c ON c.source = chain.node) SELECT node, track FROM chain""")
-def lineage_tracks(spark, sf):
-    s = _slices(spark, sf)
-    return E.tracks(s.select("node").distinct(), S.primary_parents(S.topic_edges(s, 0.45))).select("node", "track")
-
-
 @query(f"WITH {T.DOCUMENTS}, {T.REGISTRY}, {_EVENT}, {_TIERED} SELECT strftime(d, '%Y-%m') AS month, count(*) FILTER (tier = 'low') AS low, count(*) FILTER (tier = 'authoritative') AS authoritative, count(*) FILTER (tier = 'mixed') AS mixed FROM tiered GROUP BY 1")
 def month_tier_pivot(spark, sf):
     return _tiered(spark, sf).groupBy(F.date_format("d", "yyyy-MM").alias("month")).pivot("tier", list(S.TIERS)).count().na.fill(0)
@@ -446,8 +395,11 @@ def top_hosts_per_tier(spark, sf):
 
 
 def queries() -> dict[str, Query]:
+    from textloom import catalog_corpus, catalog_topics  # noqa: F401  they add theirs
+
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    queries()
     return dict(_SQL)

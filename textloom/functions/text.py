@@ -2,41 +2,59 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from collections.abc import Callable
+from zlib import crc32
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 #: Words that negate a claim: fixed values.
-NEGATIONS = ("no", "not", "never", "neither", "nor", "without", "cannot", "can't", "won't", "don't", "doesn't")
+NEGATIONS = ("no", "not", "never", "without", "cannot", "can't", "don't", "doesn't", "isn't", "wasn't", "won't")
+#: Words that name people, not places: fixed values.
+DEMONYMS = (
+    "american", "americans", "british", "english", "french", "german", "germans",
+    "chinese", "japanese", "indian", "indians", "italian", "italians", "russian",
+    "russians", "spanish", "european", "europeans", "asian", "asians", "african",
+    "africans", "western", "westerners", "westerner", "easterner", "easterners",
+    "northerner", "northerners", "southerner", "southerners",
+)
 WORDS = r"[\p{L}\p{N}]+(?:['’][\p{L}\p{N}]+)*"
 NUMBERS = r"\d+(?:[.,]\d+)*"
 
 
+def _fold(x: str) -> str:
+    return " ".join(unicodedata.normalize("NFKC", x).casefold().split())
+
+
 @F.pandas_udf(StringType())
 def _unicode_folded(s: pd.Series) -> pd.Series:
-    return s.map(lambda x: None if x is None else " ".join(unicodedata.normalize("NFKC", x).casefold().split()))
+    return s.map(lambda x: None if x is None else _fold(x))
 
 
 def normalize_text(text: Column) -> Column:
-    """NFKC, case folded, white space collapsed. Runs Python; see normalize_ascii() for plain texts."""
-    return _unicode_folded(text)
+    """NFKC, case folded, white space collapsed: built-in for ASCII; only other texts go through an Arrow kernel."""
+    ascii_ = F.octet_length(text) == F.char_length(text)
+    plain = F.lower(F.trim(F.regexp_replace(text, r"[\t-\r\x1c-\x20]+", " ")))
+    return F.coalesce(_unicode_folded(F.when(~ascii_, text)), plain)
 
 
-def normalize_ascii(text: Column) -> Column:
-    """The same for texts without compatibility characters, as built-in expressions."""
-    return F.replace(F.lower(F.trim(F.regexp_replace(text, r"\s+", " "))), F.lit("ß"), F.lit("ss"))
+def content_hash(text: Column) -> Column:
+    return F.sha2(normalize_text(text), 256)
 
 
-def content_hash(text: Column) -> Column:
-    return F.sha2(normalize_ascii(text), 256)
+def text_key(text: Column) -> Column:
+    """The text with runs of white space as one space: what repeated captures are recognised by."""
+    return F.regexp_replace(F.trim(text), r"\s+", " ")
 
 
 def tokens(text: Column) -> Column:
-    return F.regexp_extract_all(F.lower(text), F.lit(WORDS), F.lit(0))
+    """The words of a normalized text."""
+    return F.regexp_extract_all(text, F.lit(WORDS), F.lit(0))
 
 
 def numbers(text: Column) -> Column:
@@ -54,7 +72,7 @@ def _let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def shingles(text: Column, k: int = 5) -> Column:
-    """Distinct word shingles; a shorter text is one, a text without words has none."""
+    """Distinct word shingles of a normalized text; a shorter text is one, a text without words has none."""
 
     def of(w: Column) -> Column:
         n = F.size(w)
@@ -70,7 +88,7 @@ def jaccard(a: Column, b: Column) -> Column:
 
 
 def claim_markers(text: Column) -> Column:
-    """Numbers in order, and three words around each negation."""
+    """Numbers in order, and three words around each negation, of a normalized text."""
 
     def around(w: Column) -> Column:
         at = F.filter(F.sequence(F.lit(1), F.greatest(F.size(w), F.lit(1))), lambda i: F.get(w, i - 1).isin(*NEGATIONS))
@@ -80,15 +98,125 @@ def claim_markers(text: Column) -> Column:
     return F.struct(numbers(text).alias("numbers"), _let(tokens(text), around).alias("negations"))
 
 
+_WORDS = re.compile(r"[^\W_]+(?:['’][^\W_]+)*")
+
+
 def without_repeated_blocks(text: Column, min_words: int = 20) -> Column:
-    """Lines of so many words or more that came before on the page go; short lines stay."""
+    """(text, removed): lines of so many words or more that came before on the page go; short lines stay."""
 
-    def of(pair: Column) -> Column:
-        lines, norm = pair["lines"], pair["norm"]
-        keep = F.filter(F.sequence(F.lit(1), F.size(lines)), lambda i: (word_count(F.get(lines, i - 1)) < min_words) | (F.array_position(norm, F.get(norm, i - 1)) == i))
-        return F.trim(F.array_join(F.transform(keep, lambda i: F.get(lines, i - 1)), "\n"))
+    @F.pandas_udf("text string, removed long")
+    def run(s: pd.Series) -> pd.DataFrame:
+        out = []
+        for x in s:
+            if x is None:
+                out.append((None, 0))
+                continue
+            seen: set[str] = set()
+            lines, gone = [], 0
+            for line in x.splitlines(keepends=True):
+                if sum(1 for _ in _WORDS.finditer(line)) >= min_words:
+                    if (same := _fold(line)) in seen:
+                        gone += 1
+                        continue
+                    seen.add(same)
+                lines.append(line)
+            out.append(("".join(lines).strip(), gone))
+        return pd.DataFrame(out, columns=["text", "removed"])
+
+    return run(text)
+
+
+def minhash(shingle_list: Column, permutations: int = 128, seed: int = 42) -> Column:
+    """MinHash values of a set of shingles, one a permutation; null for an empty set."""
+    values = F.transform(F.sequence(F.lit(1), F.lit(permutations)), lambda i: F.array_min(F.transform(shingle_list, lambda x: F.xxhash64(F.lit(seed), i, x))))
+    return F.when(F.size(shingle_list) > 0, values)
+
+
+def bands(signature: Column, count: int = 8, rows: int = 16) -> Column:
+    """Hashes of a signature's bands, numbered: sets that share one are candidates."""
+    return F.transform(F.sequence(F.lit(0), F.lit(count - 1)), lambda b: F.xxhash64(b, F.slice(signature, b * rows + 1, rows)))
+
+
+def context(text: Column, begin: Column, end: Column, around: int = 250) -> Column:
+    """The characters around a span (from ``begin``, counted from 0, to before ``end``)."""
+    first = F.greatest(begin - around, F.lit(0))
+    return F.substring(text, first + 1, F.least(end + around, F.char_length(text)) - first)
+
+
+def is_place_name(name: Column) -> Column:
+    """Whether a name is there at all and is not that of a people."""
+    return (F.length(name) > 0) & ~F.lower(name).isin(*DEMONYMS)
+
+
+def text_windows(text: Column, most: int = 100_000, size: int = 50_000, overlap: int = 2000) -> Column:
+    """(begin, text) of a text's windows: one up to ``most`` characters, else windows of ``size`` that overlap."""
+    n = F.char_length(text)
+    count = F.ceil((n - overlap) / F.lit(size - overlap)).cast("int")
+    long = F.transform(F.sequence(F.lit(0), F.greatest(count - 1, F.lit(0))), lambda i: F.struct((i * (size - overlap)).alias("begin"), F.substring(text, i * (size - overlap) + 1, F.lit(size)).alias("text")))
+    return F.when(n > most, long).otherwise(F.array(F.struct(F.lit(0).alias("begin"), text.alias("text"))))
+
+
+def date_prefix(value: Column) -> Column:
+    """The date that the first ten characters write; null if they write none."""
+    return F.try_to_timestamp(F.substring(value, 1, 10), F.lit("yyyy-MM-dd")).cast("date")
+
+
+#: Words that tell languages: a short profile each, as fixed values.
+PROFILES = {
+    "en": ("the", "and", "of", "to", "in", "is", "that", "for", "with", "was"),
+    "fr": ("le", "la", "les", "et", "de", "des", "est", "une", "dans", "pour"),
+    "de": ("der", "die", "das", "und", "ist", "nicht", "ein", "eine", "mit", "von"),
+    "es": ("el", "los", "las", "y", "del", "es", "una", "en", "por", "con"),
+}
+
+
+def detect_language(text: Column, characters: int = 80) -> Column:
+    """The language whose profile the first characters meet most often, ties by code; null without a meeting."""
+    words_ = F.regexp_extract_all(F.lower(F.substring(text, 1, characters)), F.lit(r"\p{L}+"), F.lit(0))
+    met = lambda profile: F.size(F.filter(words_, lambda w: w.isin(*profile)))
+    hits = [F.struct((-met(profile)).alias("n"), F.lit(code).alias("code")) for code, profile in PROFILES.items()]
+    best = F.array_min(F.array(*hits))
+    return F.when(best["n"] < 0, best["code"])
+
+
+def sentence_chunks(text: Column, words_each: int = 128) -> Column:
+    """(begin, end, token_count, text) of chunks: whole sentences, packed until the next would exceed so many words."""
+    sentence = F.regexp_extract_all(text, F.lit(r"(?s)[^.!?\n]*(?:[.!?\n]+\s*|$)"), F.lit(0))
+    sentence = F.filter(sentence, lambda x: F.length(x) > 0)
+    empty = F.struct(F.array().cast("array<struct<begin:int,end:int,token_count:int>>").alias("done"), F.lit(0).alias("begin"), F.lit(0).alias("end"), F.lit(0).alias("n"))
+
+    def step(a: Column, x: Column) -> Column:
+        n, size = word_count(x), F.char_length(x)
+        full = (a["n"] > 0) & (a["n"] + n > words_each)
+        closed = F.struct(a["begin"].alias("begin"), a["end"].alias("end"), a["n"].alias("token_count"))
+        return F.struct(
+            F.when(full, F.concat(a["done"], F.array(closed))).otherwise(a["done"]).alias("done"), F.when(full, a["end"]).otherwise(a["begin"]).alias("begin"),
+            (a["end"] + size).alias("end"), (F.when(full, 0).otherwise(a["n"]) + n).alias("n"),
+        )
+
+    def close(a: Column) -> Column:
+        return F.when(a["n"] > 0, F.concat(a["done"], F.array(F.struct(a["begin"].alias("begin"), a["end"].alias("end"), a["n"].alias("token_count"))))).otherwise(a["done"])
+
+    spans = F.aggregate(sentence, empty, step, close)
+    return F.transform(spans, lambda c: F.struct(c["begin"].alias("begin"), c["end"].alias("end"), c["token_count"].alias("token_count"), F.substring(text, c["begin"] + 1, c["end"] - c["begin"]).alias("text")))
+
+
+def encode(text: Column, dims: int = 64) -> Column:
+    """A unit vector of a text's hashed word counts: the encoder that needs no model; null without words."""
+
+    @F.pandas_udf("array<double>")
+    def run(s: pd.Series) -> pd.Series:
+        out = []
+        for x in s:
+            v = np.zeros(dims)
+            for w in _WORDS.findall((x or "").lower()):
+                h = crc32(w.encode())
+                v[h % dims] += 1 if h >> 16 & 1 else -1
+            n = np.sqrt(v @ v)
+            out.append(v / n if n else None)
+        return pd.Series(out)
 
-    return _let(_let(F.split(text, "\n"), lambda x: F.struct(x.alias("lines"), F.transform(x, normalize_ascii).alias("norm"))), of)
+    return run(text)
 
 
 def surface(name: Column) -> Column:

@@ -71,6 +71,22 @@ def source_scope(collection: Column, host: Column, month: Column, language: Colu
     return F.struct(collection.alias("collection_id"), F.coalesce(host, F.concat(F.lit("unknown:"), fallback)).alias("host"), month.alias("month"), F.coalesce(F.lower(language), F.lit("")).alias("language"))
 
 
-def stable_id(*parts: Column) -> Column:
-    """A digest of JSON-encoded values: article and chunk ids."""
-    return F.sha2(F.to_json(F.array(*[F.coalesce(p.cast("string"), F.lit("")) for p in parts])), 256)
+def digest(value: Column) -> Column:
+    """SHA-256 of a value's canonical JSON: a map's or struct's keys in order."""
+    return F.sha2(F.to_json(value), 256)
+
+
+def article_id(collection: Column, url: Column, captured: Column, published: Column, text: Column) -> Column:
+    """The identity of one article: collection, canonical url, dates and text."""
+    text_hash = F.sha2(F.coalesce(text, F.lit("")), 256)
+    parts = (collection.cast("string"), canonical_url(url), captured.cast("string"), published.cast("string"), text_hash)
+    return F.sha2(F.to_json(F.array(*[F.coalesce(p, F.lit("")) for p in parts])), 256)
+
+
+def chunk_id(namespace: Column, collection: Column, url: Column, month: Column, language: Column, content: Column, version: int = 2) -> Column:
+    """A name-based UUID (version 5, in the URL namespace) of a chunk; ``content`` is the hash of its text."""
+    parts = (F.lit(str(version)), namespace, collection.cast("string"), canonical_url(url), month, F.lower(language), content)
+    name = F.to_json(F.array(*[F.coalesce(p, F.lit("")) for p in parts]))
+    h = F.sha1(F.concat(F.unhex(F.lit("6ba7b8119dad11d180b400c04fd430c8")), F.encode(name, "utf-8")))
+    variant = F.substr(F.lit("89ab"), F.pmod(F.conv(F.substring(h, 17, 1), 16, 10).cast("int"), F.lit(4)) + 1, F.lit(1))
+    return F.concat_ws("-", F.substring(h, 1, 8), F.substring(h, 9, 4), F.concat(F.lit("5"), F.substring(h, 14, 3)), F.concat(variant, F.substring(h, 18, 3)), F.substring(h, 21, 12))

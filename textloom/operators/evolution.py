@@ -1,18 +1,10 @@
-"""Topics over windows: trailing frames, links by shared terms, births and deaths, term fields, milestones."""
+"""Frames over time: trailing windows, milestones, running totals, samples and previews."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from textloom.operators.semantics import topic_edges
-from textloom.plans.lineage import cut
-
 
 def trailing_frames(rows: DataFrame, date: str, weeks: int = 4) -> DataFrame:
     """Every row once for each frame whose trailing weeks have its date; frames end on Sundays and on the last date.
@@ -28,77 +20,6 @@ def trailing_frames(rows: DataFrame, date: str, weeks: int = 4) -> DataFrame:
     return dated.withColumn("frame_end", F.explode(ends)).drop("last_date")
 
 
-def shared_mass(slices: DataFrame) -> DataFrame:
-    """(source, target, similarity) of topics of adjacent windows: weighted Jaccard of their term shares.
-
-    Shares of a topic sum to 1, so the larger shares sum to 2 less the smaller ones: shared terms are enough.
-    """
-    spine = slices.select("window").distinct().withColumn("w", F.lead("window").over(Window.orderBy("window")))
-    a = slices.join(spine, "window").select(F.col("node").alias("source"), "w", "term", F.col("p").alias("pa"))
-    b = slices.select(F.col("node").alias("target"), F.col("window").alias("w"), "term", F.col("p").alias("pb"))
-    m = a.join(b, ["w", "term"]).groupBy("source", "target").agg(F.sum(F.least("pa", "pb")).alias("m"))
-    return m.select("source", "target", F.round(F.col("m") / (2 - F.col("m")), 6).alias("similarity"))
-
-
-def topic_events(slices: DataFrame, threshold: float) -> DataFrame:
-    """Degrees, novelty, birth and death of every topic; unknown (null) where no window comes before or after.
-
-    Novelty is one less the best similarity to any topic of the window before, linked or not.
-    """
-    pairs = topic_edges(slices, 0.0)
-    linked = F.count_if(F.col("similarity") >= threshold)
-    before = pairs.groupBy(F.col("target").alias("node")).agg(F.max("similarity").alias("best"), linked.alias("in_degree"))
-    after = pairs.groupBy(F.col("source").alias("node")).agg(linked.alias("out_degree"))
-    order = Window.orderBy("window")
-    spine = slices.select("window").distinct().select("window", F.lag("window").over(order).isNotNull().alias("has_before"), F.lead("window").over(order).isNotNull().alias("has_after"))
-    nodes = slices.select("node", "window").distinct().join(spine, "window").join(before, "node", "left").join(after, "node", "left").na.fill(0, ["in_degree", "out_degree"])
-    return nodes.select(
-        "node", "window", "in_degree", "out_degree",
-        F.when(F.col("has_before"), F.round(1 - F.coalesce("best", F.lit(0.0)), 6)).alias("novelty"),
-        F.when(F.col("has_before"), F.col("in_degree") == 0).alias("birth"),
-        F.when(F.col("has_after"), F.col("out_degree") == 0).alias("death"),
-    )
-
-
-def _together(features: int):
-    """(a, b, together) of a task's documents: the product of their 0/1 matrix over the vocabulary with itself."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((features, features), np.int64)
-        for batch in batches:
-            for k in range(0, batch.num_rows, 2048):
-                t = batch.column(0).slice(k, 2048)
-                held = np.zeros((len(t), features), np.float32)
-                held[pc.list_parent_indices(t).to_numpy(), t.flatten().to_numpy()] = 1
-                total += (held.T @ held).astype(np.int64)
-        a, b = np.nonzero(np.triu(total, 1))
-        yield pa.RecordBatch.from_arrays([pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32)), pa.array(total[a, b])], names=["i", "j", "together"])
-
-    return run
-
-
-def term_field(docs: DataFrame, key: str, features: int, min_df: int = 3, max_df: float = 0.8, min_together: int = 3, least: float = 0.15) -> DataFrame:
-    """(a, b, together, npmi) of terms that occur in the same documents.
-
-    The vocabulary is the ``features`` most frequent terms. Each task counts the pairs of its documents in a matrix
-    of that many, squared, and counts are summed over the tasks: no document's pairs become rows.
-    """
-    terms = docs.select(key, F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"[a-z]{3,}"), F.lit(0)))).alias("term"))
-    n = docs.agg(F.count("*").alias("n"))  # one row
-    df = terms.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(n)).filter((F.col("df") >= min_df) & (F.col("df") <= max_df * F.col("n")))
-    rows = sorted((r["term"], r["df"], r["n"]) for r in df.orderBy(F.desc("df"), "term").limit(features).collect())  # at most features rows
-    vocabulary = docs.sparkSession.createDataFrame([(i, *r) for i, r in enumerate(rows)], "at int, term string, df long, n long")
-    held = terms.join(F.broadcast(vocabulary.select("term", "at")), "term").groupBy(key).agg(F.collect_list("at").alias("t"))
-    pairs = held.select("t").mapInArrow(_together(len(rows)), "i int, j int, together long")
-    together = pairs.groupBy("i", "j").agg(F.sum("together").alias("together")).filter(F.col("together") >= min_together)
-    one = vocabulary.select(F.col("at").alias("i"), F.col("term").alias("a"), F.col("df").alias("df_a"), "n")
-    two = vocabulary.select(F.col("at").alias("j"), F.col("term").alias("b"), F.col("df").alias("df_b"))
-    x, size = F.col("together"), F.col("n")
-    npmi = F.round(F.ln(x * size / (F.col("df_a") * F.col("df_b"))) / -F.ln(x / size), 6)
-    out = together.join(F.broadcast(one), "i").join(F.broadcast(two), "j").filter(x < size)
-    return out.select("a", "b", "together", npmi.alias("npmi")).filter(F.col("npmi") >= least)
-
-
 def recent_events(frames: DataFrame, events: DataFrame, end: str, k: int) -> DataFrame:
     """The k latest events up to each frame's end. ``events`` is a table of milestones of a study, tens of rows."""
     met = frames.join(F.broadcast(events), F.col("event_date") <= F.col(end))
@@ -112,30 +33,41 @@ def most_frequent(rows: DataFrame, key: str, value: str) -> DataFrame:
     return n.groupBy(key).agg(F.min_by(F.struct(value, "n"), F.struct(-F.col("n"), F.col(value))).alias("best")).select(key, f"best.{value}", "best.n")
 
 
-def js_divergence(slices: DataFrame) -> DataFrame:
-    """(source, target, divergence) of topics of adjacent windows: Jensen-Shannon divergence of term shares in bits.
+def arriving_events(frames: DataFrame, events: DataFrame, end: str) -> DataFrame:
+    """Events since the frame before, up to each frame's end; all earlier ones for the first frame."""
+    spine = frames.select(end).distinct().withColumn("previous", F.lag(end).over(Window.orderBy(end)))  # a row a frame
+    met = spine.join(F.broadcast(events), (F.col("event_date") <= F.col(end)) & (F.col("previous").isNull() | (F.col("event_date") > F.col("previous"))))
+    return met.select(end, "previous", "event_date", "event")
 
-    A term of one topic only adds half its share, so the terms that both have are enough; topics that share none
-    diverge by 1 and have no row.
-    """
-    spine = slices.select("window").distinct().withColumn("w", F.lead("window").over(Window.orderBy("window")))
-    a = slices.join(spine, "window").select(F.col("node").alias("source"), "w", "term", F.col("p").alias("p"))
-    b = slices.select(F.col("node").alias("target"), F.col("window").alias("w"), "term", F.col("p").alias("q"))
-    p, q = F.col("p"), F.col("q")
-    both = a.join(b, ["w", "term"]).groupBy("source", "target").agg(F.sum(p * F.log2(p / (p + q)) + q * F.log2(q / (p + q))).alias("s"))
-    return both.select("source", "target", F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 + F.col("s") / 2)).alias("divergence"))
 
+def frame_spine(first: DataFrame, last: DataFrame) -> DataFrame:
+    """(frame_end): the Sundays from the first day of ``first`` (column d) to the last of ``last``, and that last day."""
+    span = first.agg(F.min("d").alias("a")).crossJoin(last.agg(F.max("d").alias("b")))
+    sundays = F.filter(F.sequence(F.next_day(F.date_sub("a", 1), "Sun"), F.date_add("b", 7), F.expr("interval 7 days")), lambda e: e <= F.col("b"))
+    return span.select(F.explode(F.array_union(sundays, F.array("b"))).alias("frame_end"))
 
-def tracks(nodes: DataFrame, parents: DataFrame) -> DataFrame:
-    """``nodes`` with ``track``: the first topic of the chain of continuations that each belongs to.
 
-    ``parents`` is as of primary_parents(). Chains are halved each round, so rounds are the logarithm of the windows.
-    """
-    up = parents.filter("continues").select(F.col("target").alias("node"), F.col("source").alias("track"))
-    at = cut(nodes.join(up, "node", "left").withColumn("track", F.coalesce("track", "node")))
-    while True:
-        further = at.select(F.col("node").alias("track"), F.col("track").alias("next"))
-        jumped = cut(at.join(further, "track"))
-        at = jumped.drop("track").withColumnRenamed("next", "track")
-        if jumped.filter("track <> next").isEmpty():
-            return at
+def running_totals(rows: DataFrame, group: str, order: str, value: str) -> DataFrame:
+    """Each group's values summed up to every place of its order: series that grow frame by frame."""
+    return rows.withColumn("total", F.sum(value).over(Window.partitionBy(group).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)))
+
+
+def sample_each(rows: DataFrame, group: str, key: str, n: int = 800, seed: int = 42) -> DataFrame:
+    """n rows of each group, the same in every run: those with the least hash of key and seed."""
+    at = F.row_number().over(Window.partitionBy(group).orderBy(F.xxhash64(F.lit(seed), F.col(key)), key))
+    return rows.withColumn("place", at).filter(F.col("place") <= n).drop("place")
+
+
+def largest(rows: DataFrame, keys: list[str], group: list[str], n: int) -> DataFrame:
+    """The n most frequent ``keys`` of each group with their rank; equals by name."""
+    c = rows.groupBy(*group, *keys).agg(F.count("*").alias("n"))
+    by = Window.partitionBy(*group) if group else Window.partitionBy(F.lit(0))
+    if not group:
+        c = c.orderBy(F.desc("n"), *keys).limit(n)
+    return c.withColumn("rank", F.row_number().over(by.orderBy(F.desc("n"), *keys))).filter(F.col("rank") <= n)
+
+
+def preview_period(counts: DataFrame, period: str, group: str, value: str) -> DataFrame:
+    """The period in which the smallest group is largest, the first of equals: one row."""
+    low = counts.groupBy(period).agg(F.min(value).alias("least"), F.count_distinct(group).alias("groups"))
+    return low.orderBy(F.desc("groups"), F.desc("least"), period).limit(1).select(period, "least")

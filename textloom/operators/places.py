@@ -86,3 +86,64 @@ def attention(docs: DataFrame, collapsed: DataFrame, article: str, groups: list[
     mapped = pairs.groupBy(*groups).agg(F.count_distinct(article).alias("n_mapped"))
     n = pairs.groupBy(*groups, "country_code").agg(F.count("*").alias("n_articles"))
     return n.join(mapped, groups).withColumn("percent", 100 * F.col("n_articles") / F.col("n_mapped"))
+
+
+def with_capitals(places: DataFrame, countries: DataFrame) -> DataFrame:
+    """The places, of which each country's capital also has the country's name among its names.
+
+    The capital is the most populous place of that name in the country, else anywhere. ``countries``: (country_name,
+    country_code, capital), some hundreds. A name that a place gets this way counts as its own name, so the rows of
+    such places are repeated with it.
+    """
+    c = countries.filter("capital <> ''").select("country_name", F.col("country_code").alias("state"), _key(F.col("capital")).alias("key"))
+    met = places.join(F.broadcast(c), _key(F.col("name")) == F.col("key"))
+    home = (F.col("state") == F.col("country_code")).cast("int")
+    best = met.groupBy("state", "country_name").agg(F.max_by("place_id", F.struct(home, F.coalesce("population", F.lit(0)), -F.col("place_id"))).alias("chosen"))
+    named = places.join(F.broadcast(best), F.col("place_id") == F.col("chosen")).withColumns({"name": F.col("country_name"), "alternates": F.array().cast("array<string>")})
+    return places.unionByName(named.select(*places.columns))
+
+
+def country_names(countries: DataFrame) -> DataFrame:
+    """(country_name, country_code): names and codes by which a context names a country."""
+    return countries.select("country_name", "country_code").unionByName(countries.select(F.col("country_code").alias("country_name"), "country_code")).filter("country_name <> ''").distinct()
+
+
+def mentions(docs: DataFrame, names: DataFrame, article: str, most_words: int = 4) -> DataFrame:
+    """(article, start_char, end_char, surface, context) of known names in texts: the matcher that needs no model.
+
+    Texts are cut into windows (see text_windows()) and words are matched as they are written, up to ``most_words``
+    in a row; of overlapping names the longest stands. ``names`` has a column name.
+    """
+    from pyspark.sql import Window
+
+    from textloom.functions.text import context, is_place_name, surface, text_windows
+
+    w = docs.select(article, "text", F.explode(text_windows(F.col("text"))).alias("w"))
+    spans = F.regexp_extract_all(F.col("w.text"), F.lit(r"\s*[^\s]+"), F.lit(0))
+    step = lambda a, x: F.struct((a["at"] + F.char_length(x)).alias("at"), F.concat(a["words"], F.array(F.struct((a["at"] + F.char_length(x) - F.char_length(F.ltrim(x))).alias("begin"), F.regexp_replace(F.trim(x), r"^[\p{P}]+|[\p{P}]+$", "").alias("word")))).alias("words"))
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<begin:int,word:string>>").alias("words"))
+    words = w.select(article, "text", F.col("w.begin").alias("shift"), F.aggregate(spans, start, step)["words"].alias("words"))
+    one = words.select(article, "text", "shift", "words", F.posexplode("words").alias("i", "x")).filter(F.col("x.word").rlike(r"^\p{Lu}"))
+    runs = one.withColumn("n", F.explode(F.sequence(F.lit(1), F.lit(most_words)))).filter(F.col("i") + F.col("n") <= F.size("words"))
+    last = F.element_at("words", F.col("i") + F.col("n"))
+    said = F.array_join(F.transform(F.slice("words", F.col("i") + 1, F.col("n")), lambda x: x["word"]), " ")
+    lead = F.char_length(F.regexp_extract(F.substring("text", F.col("shift") + F.col("x.begin") + 1, F.lit(8)), r"^[\p{P}]*", 0))
+    begin = F.col("shift") + F.col("x.begin") + lead
+    end = F.col("shift") + last["begin"] + F.char_length(last["word"]) + F.when(F.col("n") == 1, lead).otherwise(0)
+    found = runs.select(article, "text", begin.alias("start_char"), end.alias("end_char"), said.alias("surface"))
+    known = names.select(surface(F.col("name")).alias("known")).distinct()
+    found = found.withColumn("key", surface(F.col("surface"))).filter(is_place_name(F.col("key"))).join(known, F.col("key") == F.col("known"), "left_semi")
+    found = found.dropDuplicates([article, "start_char", "end_char", "surface"])
+    before = F.max("end_char").over(Window.partitionBy(article).orderBy("start_char", F.desc("end_char")).rowsBetween(Window.unboundedPreceding, -1))
+    kept = found.withColumn("before", before).filter(F.col("before").isNull() | (F.col("start_char") >= F.col("before")))
+    return kept.select(article, "start_char", "end_char", "surface", context(F.col("text"), F.col("start_char"), F.col("end_char")).alias("context"))
+
+
+def nested(collapsed: DataFrame, article: str) -> DataFrame:
+    """(article, mentions): the article's places as one list, in order of place; an article's places are few."""
+    return collapsed.groupBy(article).agg(F.array_sort(F.collect_list(F.struct("place_id", "toponym", "country_code", "lat", "lon", "mention_count", "confidence"))).alias("mentions"))
+
+
+def renderable(countries: DataFrame, code: str = "country_code") -> DataFrame:
+    """Countries that a map shows: not Antarctica, and none without a code."""
+    return countries.filter(~F.col(code).isin("AQ", "-99"))

@@ -8,8 +8,12 @@ from pyspark.sql import DataFrame
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """The rows as a checkpoint in the shared folder that the session names; one of our own only if it names none."""
+    """The rows as a checkpoint in the shared folder that the session names; a folder of our own only on a local master that names none."""
     spark = df.sparkSession
-    if spark.conf.get("spark.checkpoint.dir", None) is None and spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="textloom_"))
+    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+        master = spark.sparkContext.master
+        if not found and master != "local" and not master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir(found or tempfile.mkdtemp(prefix="textloom_"))
     return df.checkpoint()

@@ -27,6 +27,12 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("doc_id") % 5 != 0, day("2020-01-15", "doc_id * 37 % 1250")).alias("publish_date"),
         day("2020-02-01", "doc_id * 53 % 1180").alias("capture_date"),
         F.when(F.col("doc_id") % 23 == 0, "extract_failed").otherwise("ok").alias("fetch_status"),
+        F.expr("date_format(coalesce(case when doc_id % 5 <> 0 then date_add(date '2020-01-15', cast(doc_id * 37 % 1250 as int)) end, date_add(date '2020-02-01', cast(doc_id * 53 % 1180 as int))), 'yyyy-MM')").alias("month"),
+        F.concat(F.lit("https://"), "source", F.lit(".example.org/")).alias("seed_url"),
+        F.concat(F.lit("https://www."), "source", F.lit(".example.org/item/"), (F.col("doc_id") % 7).cast("string")).alias("capture_url"),
+        F.col("source").alias("seed_id"),
+        F.lit(None).cast("string").alias("digest"),
+        F.when(F.col("doc_id") % 4 == 0, "fallback").otherwise("article").alias("extraction_mode"),
     )
 
 
@@ -35,7 +41,9 @@ DOCUMENTS = """docs AS (
     CASE doc_id % 3 WHEN 0 THEN 13559 WHEN 1 THEN 13529 ELSE 4887 END AS collection_id,
     CASE WHEN doc_id % 5 <> 0 THEN date '2020-01-15' + CAST(doc_id * 37 % 1250 AS INTEGER) END AS publish_date,
     date '2020-02-01' + CAST(doc_id * 53 % 1180 AS INTEGER) AS capture_date,
-    CASE WHEN doc_id % 23 = 0 THEN 'extract_failed' ELSE 'ok' END AS fetch_status FROM documents)"""
+    CASE WHEN doc_id % 23 = 0 THEN 'extract_failed' ELSE 'ok' END AS fetch_status,
+    strftime(coalesce(CASE WHEN doc_id % 5 <> 0 THEN date '2020-01-15' + CAST(doc_id * 37 % 1250 AS INTEGER) END, date '2020-02-01' + CAST(doc_id * 53 % 1180 AS INTEGER)), '%Y-%m') AS month,
+    'https://www.' || source || '.example.org/item/' || (doc_id % 7) AS capture_url, CASE WHEN doc_id % 4 = 0 THEN 'fallback' ELSE 'article' END AS extraction_mode FROM documents)"""
 
 
 def registry(spark: SparkSession) -> DataFrame:
@@ -73,6 +81,7 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.transform("embedding", lambda x: x.cast("double")).alias("v"),
         F.date_format(F.expr("add_months(date '2020-02-01', cast(vec_id % 12 as int))"), "yyyy-MM").alias("month"),
         F.expr("case vec_id % 3 when 0 then 'low' when 1 then 'authoritative' else 'mixed' end").alias("tier"),
+        F.expr("case when vec_id % 12 < 10 then 'P1_global_onset' when vec_id % 12 = 10 then 'P2_pre_vaccine' else 'P3_vaccine_rollout' end").alias("phase"),
         F.concat(F.lit("host"), (F.col("vec_id") % 11).cast("string")).alias("host"),
         F.when(F.col("label") == 9, -1).otherwise(F.col("label")).alias("topic"),
     )
@@ -80,6 +89,7 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 CHUNKS = """chunks AS (
   SELECT vec_id AS point_id, [CAST(x AS DOUBLE) FOR x IN embedding] AS v, strftime(date '2020-02-01' + to_months(CAST(vec_id % 12 AS INTEGER)), '%Y-%m') AS month,
+    CASE WHEN vec_id % 12 < 10 THEN 'P1_global_onset' WHEN vec_id % 12 = 10 THEN 'P2_pre_vaccine' ELSE 'P3_vaccine_rollout' END AS phase,
     CASE vec_id % 3 WHEN 0 THEN 'low' WHEN 1 THEN 'authoritative' ELSE 'mixed' END AS tier, 'host' || (vec_id % 11) AS host, CASE WHEN label = 9 THEN -1 ELSE label END AS topic FROM embeddings)"""
 
 
