@@ -28,9 +28,15 @@ def words(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     begin, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
     if not len(begin):
         return np.zeros(0, np.uint64), begin, end
-    place = np.arange(len(raw)) - np.repeat(begin, np.diff(np.append(begin, len(raw)))) if begin[0] == 0 else np.arange(len(raw)) - np.concatenate([np.zeros(begin[0], np.int64), np.repeat(begin, np.diff(np.append(begin, len(raw))))])
-    value = np.where(black, _BYTE[raw] * _POWERS[place & 255] + (place >> 8).astype(np.uint64), np.uint64(0))
-    return mix64(np.add.reduceat(value, begin) + (end - begin).astype(np.uint64)), begin, end
+    # The place in its word of every black byte; white ones count as nothing.
+    place = np.arange(begin[0], len(raw)) - np.repeat(begin, np.diff(np.append(begin, len(raw))))
+    raw, black = raw[begin[0] :], black[begin[0] :]
+    value = _BYTE[raw] * _POWERS[place & 255]
+    if len(raw) > 255:
+        value += (place >> 8).astype(np.uint64)
+    value[~black] = 0
+    begin_here = begin - begin[0]
+    return mix64(np.add.reduceat(value, begin_here) + (end - begin).astype(np.uint64)), begin, end
 
 
 def shingles(h: np.ndarray, k: int = K) -> np.ndarray:
@@ -62,6 +68,17 @@ def batches(bodies: list[bytes]):
         i = j
 
 
+def word_counts(bodies: list[bytes]) -> np.ndarray:
+    """Words of each text."""
+    raw = np.frombuffer(b" ".join(bodies) + b" ", np.uint8)
+    black = ~_SPACE[raw]
+    first = black.copy()
+    first[1:] &= ~black[:-1]
+    ends = np.cumsum([len(x) + 1 for x in bodies])
+    total = np.concatenate([[0], np.cumsum(first)])
+    return np.diff(np.concatenate([[0], total[ends]]))
+
+
 def of_texts(bodies: list[bytes], k: int = K) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(hashes, where each text's hashes begin, words a text, begins and ends of all words) of the shingles of texts."""
     n = np.array([len(x) for x in bodies], np.int64)
