@@ -68,15 +68,17 @@ def _least(raw: np.ndarray, length: int, salt: int) -> tuple[np.ndarray, np.ndar
     return h, (_least_in_window(tagged, length - SEED + 1) & np.uint64(0xFFFFFFFF)).astype(np.int64)
 
 
-def minimizers(raw: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, begin, windows) of the stretches of one text of ``length`` bytes or more.
+def minimizers(raw: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, begin, windows, look) of the stretches of one text of ``length`` bytes or more.
 
-    Stretch k has the strings that start at begin[k] to begin[k] + windows[k] - 1 and share a minimizer.
+    Stretch k has the strings that start at begin[k] to begin[k] + windows[k] - 1 and share a minimizer. ``look`` is a
+    hash of both ends of a stretch: stretches that are alike look alike.
     """
     h, place = _least(raw, length, 0)
     begin = np.concatenate([[0], np.flatnonzero(place[1:] != place[:-1]) + 1])
     windows = np.diff(np.append(begin, len(place)))
-    return h[place[begin]] >> np.uint64(8), begin, windows  # 56 bits tell seeds apart well enough, and more would only travel
+    look = h[begin] ^ (h[begin + windows + length - 1 - SEED] << np.uint64(1)) ^ windows.astype(np.uint64)
+    return h[place[begin]] >> np.uint64(8), begin, windows, look  # 56 bits tell seeds apart well enough, and more would only travel
 
 
 def split(raw: np.ndarray, ends: np.ndarray, key: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -92,17 +94,17 @@ def split(raw: np.ndarray, ends: np.ndarray, key: np.ndarray, length: int) -> tu
 
 
 def _stretches(length: int, bodies: list[bytes]):
-    """Concatenated (hash, document's place in the chunk, begin, windows) of all stretches."""
-    out: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
+    """Concatenated (hash, document's place in the chunk, begin, windows, look) of all stretches."""
+    out: list[tuple[np.ndarray, ...]] = []
     for k, body in enumerate(bodies):
         if len(body) >= length:
             raw = np.frombuffer(body, np.uint8)
             for s in range(0, max(1, len(raw) - length + 1), _PART):  # windows that start in [s, s + _PART)
-                h, begin, windows = minimizers(raw[s : s + _PART + length - 1], length)
-                out.append((h, np.full(len(h), k, np.int64), begin + s, windows))
+                h, begin, windows, look = minimizers(raw[s : s + _PART + length - 1], length)
+                out.append((h, np.full(len(h), k, np.int64), begin + s, windows, look))
     if not out:
         z = np.zeros(0, np.int64)
-        return z.astype(np.uint64), z, z, z
+        return z.astype(np.uint64), z, z, z, z.astype(np.uint64)
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
@@ -115,16 +117,17 @@ def _ids(docs: pa.Table) -> tuple[np.ndarray, list[bytes]]:
 
 
 def _tell(length: int, buckets: int):
-    """Round one, chunks: the smallest and largest document of each minimizer, and its stretches."""
+    """Round one, chunks: the smallest and largest document of each minimizer, and its stretches that look different."""
 
     def emit(chunk: int, docs: pa.Table):
         ids, bodies = _ids(docs)
-        h, k, _, _ = _stretches(length, bodies)
-        order = np.argsort(h, kind="stable")
-        h, d = h[order], ids[k[order]]
+        h, k, _, _, look = _stretches(length, bodies)
+        order = np.lexsort((look, h))
+        h, d, look = h[order], ids[k[order]], look[order]
         first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, np.int64)
         if len(h):
-            many = np.diff(np.append(first, len(h))).astype(np.uint32)
+            new = np.concatenate([[True], (h[1:] != h[:-1]) | (look[1:] != look[:-1])])
+            many = np.add.reduceat(new.astype(np.uint32), first)
             yield from exchange.by_bucket((h[first] % np.uint64(buckets)).astype(np.int64), h[first], lo := np.minimum.reduceat(d, first), np.maximum.reduceat(d, first) - lo, many)
 
     return emit
@@ -155,7 +158,7 @@ def _send(length: int, buckets: int):
         if not docs.num_rows or not got:
             return exchange.rows_of(chunk, iter(()))
         ids, bodies = _ids(docs)
-        h, k, begin, windows = _stretches(length, bodies)
+        h, k, begin, windows, _ = _stretches(length, bodies)
         parts = [exchange.unpack(load, 2) for _, load in got]
         wanted, hot = (np.concatenate([p[i] for p in parts]) for i in range(2))
         order = np.argsort(wanted, kind="stable")
