@@ -5,7 +5,8 @@ bytes), and the page's metadata beside the text (source, language and the record
 hash and by powers of two). A logistic classifier of each view is fitted on labelled documents. Both score all
 documents; those that either is most sure of are the pool. Over rounds, each view labels the documents of
 the pool that it is most sure of, the same number for every class in proportion to the labelled classes, and the
-other one learns from those too. At the end both views are calibrated on labelled documents that were held
+other one learns from those too. A view is the less sure of a document the less of it the view has ever learned from, so
+that a language without labels is not taken for bad. At the end both views are calibrated on labelled documents that were held
 out (Platt's method), and as the views are taken as independent given the class, a document's quality has the
 sum of both logits less that of the share of good labels, which both contain.
 
@@ -86,8 +87,14 @@ class Logistic:
                 self.b -= self.rate * e / np.sqrt(self.gb)
         return self
 
+    def known(self) -> np.ndarray:
+        """Which features the model has learned from."""
+        return self.g > 1e-6
+
     def score(self, xs: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-        return np.array([x @ self.w[at] + self.b for at, x in xs])
+        """Logits, nearer to 0 the less of a row the model has ever seen."""
+        known = self.known()
+        return np.array([(x @ self.w[at] + self.b) * x[known[at]].sum() / max(1e-9, x.sum()) for at, x in xs])
 
 
 def platt(score: np.ndarray, ys: np.ndarray) -> tuple[float, float]:
@@ -96,7 +103,9 @@ def platt(score: np.ndarray, ys: np.ndarray) -> tuple[float, float]:
     if not pos or not neg:
         return 1.0, 0.0
     t = np.where(ys == 1, (pos + 1) / (pos + 2), 1 / (neg + 2))
-    spread = max(1e-9, score.std())
+    if score.std() < 1e-6:  # a view that tells nothing apart has the share of the labels to say
+        return 0.0, float(np.log(t.mean() / (1 - t.mean())))
+    spread = score.std()
     s, a, b = score / spread, 1.0, 0.0
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(a * s + b, -30, 30)))
@@ -129,9 +138,10 @@ def cotrain(view_a: list, view_b: list, ys: np.ndarray, sizes: tuple[int, int],
                 continue
             s = models[v].score([views[v][i] for i in open_])
             order = np.argsort(s, kind="stable")
-            n_pos, n_neg = round(each * rate), each - round(each * rate)
-            top, low = order[::-1][:n_pos], order[:n_neg]
-            for part, c in ((top[s[top] > 1], 1), (low[s[low] < -1], 0)):  # only what the view is sure of
+            # Only what the view is sure of, and of both classes in proportion, so that none is learned from one alone.
+            most = min(each, (s > 1).sum() / max(rate, 1e-9), (s < -1).sum() / max(1 - rate, 1e-9))
+            n_pos, n_neg = round(most * rate), round(most * (1 - rate))
+            for part, c in ((order[::-1][:n_pos], 1), (order[:n_neg], 0)):
                 labels[1 - v][open_[part]] = c
                 grown |= len(part) > 0
         if not grown:
@@ -146,6 +156,8 @@ class Model:
     def __init__(self, a: Logistic, b: Logistic, cal: tuple[tuple[float, float], tuple[float, float]] = ((1.0, 0.0), (1.0, 0.0)), prior: float = 0.0):
         self.table, self.shape, self.bias = np.append(a.w[:DIMENSIONS], 0.0), a.w[DIMENSIONS:], a.b
         self.meta, self.meta_bias, self.cal, self.prior = b.w, b.b, cal, prior
+        known = a.known()
+        self.known, self.known_shape, self.known_meta = np.append(known[:DIMENSIONS], False).astype(np.int32), known[DIMENSIONS:], b.known()
 
     def views(self, batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
         """Scores of (.., text, source, lang, n_chars) rows by either view; nan for texts without anything."""
@@ -154,13 +166,16 @@ class Model:
         for rows, ids, begin, _ in ngrams(raw, offsets):
             grams = np.maximum(1, np.add.reduceat((ids < DIMENSIONS).astype(np.int32), begin))
             first[rows] = np.add.reduceat(self.table[ids], begin) / grams * _SCALE + self.bias
-            for r in rows.tolist():
-                first[r] += shape(raw[offsets[r] : offsets[r + 1]]) @ self.shape
+            seen = np.add.reduceat(self.known[ids], begin) / grams * _SCALE
+            for r, ngram in zip(rows.tolist(), seen.tolist(), strict=True):
+                bytes_ = shape(raw[offsets[r] : offsets[r + 1]])
+                first[r] = (first[r] + bytes_ @ self.shape) * (ngram + bytes_[self.known_shape].sum()) / (_SCALE + bytes_.sum())
         known: dict[tuple, float] = {}
         second = np.empty(batch.num_rows)
         for r, facts in enumerate(zip(*(batch.column(i).to_pylist() for i in (2, 3, 4)), strict=True)):
             if facts not in known:
-                known[facts] = float(self.meta[metadata(*facts)].sum()) + self.meta_bias
+                at = metadata(*facts)
+                known[facts] = (float(self.meta[at].sum()) + self.meta_bias) * float(self.known_meta[at].mean())
             second[r] = known[facts]
         return first, second
 
