@@ -10,7 +10,8 @@ there are: sample and weights (``DIMENSIONS`` numbers a language, on the driver
 
 Texts are used whole. ``und`` with score 0 is given to null texts and texts without a letter, and to all
 texts if nothing could be learned. Rows, also repeated ones, are independent; an empty table gives an
-empty result. Only ``df`` counts (``DIMENSIONS`` numbers a task) and the sample's features leave executors.
+empty result. Texts of any length are used whole; ids may be of any type, also null; further columns, whatever
+their names, are not looked at. Only ``df`` counts (``DIMENSIONS`` numbers a task) and the sample's features leave executors.
 """
 
 from __future__ import annotations
