@@ -136,7 +136,7 @@ def mentions(docs: DataFrame, names: DataFrame, article: str, most_words: int =
     found = found.dropDuplicates([article, "start_char", "end_char", "surface"])
     before = F.max("end_char").over(Window.partitionBy(article).orderBy("start_char", F.desc("end_char")).rowsBetween(Window.unboundedPreceding, -1))
     kept = found.withColumn("before", before).filter(F.col("before").isNull() | (F.col("start_char") >= F.col("before")))
-    return kept.select(article, "start_char", "end_char", "surface", context(F.col("text"), F.col("start_char"), F.col("end_char")).alias("context"))
+    return kept.select(article, "start_char", "end_char", F.regexp_replace("surface", r"(?i)^the ", "").alias("surface"), context(F.col("text"), F.col("start_char"), F.col("end_char")).alias("context"))
 
 
 def nested(collapsed: DataFrame, article: str) -> DataFrame:
