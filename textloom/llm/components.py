@@ -2,9 +2,9 @@
 
 Large-star and small-star steps (Kiveris et al., 2014) turn any link table into stars around the smallest
 id of each component in a logarithmic number of rounds. Before the first round every partition replaces
-its links by a spanning forest, which bounds them by its nodes. Minima are combined before the shuffle and
-joined back, so a hub's neighbours need not meet in one task (Spark splits skewed joins). Each round is cut
-by a checkpoint.
+its links by a spanning forest, which bounds them by its nodes. Minima are combined before the shuffle, cut by
+a checkpoint and joined back: the join's sides are then plain shuffles, which Spark splits where a hub's links are
+many, so they need not meet in one task.
 """
 
 from __future__ import annotations
@@ -69,10 +69,10 @@ def components(links: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
     for _ in range(rounds):
         both = stars.select(F.col("a").alias("n"), F.col("b").alias("o")).union(stars.select("b", "a"))
         # Large star: larger neighbours go to the smallest one, the node itself included.
-        low = both.groupBy("n").agg(F.min("o").alias("m"))
-        large = both.filter("o > n").join(low, "n").select(F.col("o").alias("a"), F.least("n", "m").alias("b")).distinct()
+        low = cut(both.groupBy("n").agg(F.min("o").alias("m")))
+        large = cut(both.filter("o > n").join(low, "n").select(F.col("o").alias("a"), F.least("n", "m").alias("b")).distinct())
         # Small star: a node and its smaller neighbours go to the smallest of them.
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
+        low = cut(large.groupBy("a").agg(F.min("b").alias("m")))
         small = large.join(low, "a")
         stars = cut(small.select("a", F.col("m").alias("b")).union(small.filter("b <> m").select("b", F.col("m"))).distinct())
         now = stars.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
