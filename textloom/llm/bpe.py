@@ -6,8 +6,13 @@ associative, so a blocked prefix scan over a table of the (finite) monoid of the
 state before every character, hence all piece boundaries at once, without regex. Pieces go through a
 bounded cache; those that are not in it are merged together, a whole batch at a time, as a matrix.
 
-Null and empty texts have no tokens and decode to no bytes. Rows, also repeated ones, are independent.
-Nothing is shuffled; memory depends on ``_SLICE`` bytes of text and the longest text.
+Byte offsets of the pieces are kept with the ids: by them the pieces around any span of a text are decoded
+without the rest of it (decode_spans()).
+
+Null and empty texts have no tokens and decode to no bytes. Rows, also repeated ones and those that share an id,
+are independent; ids may be of any type, also null. Further columns, whatever their names, are not looked at. An
+empty table gives an empty result. Nothing is shuffled; memory depends on ``_SLICE`` bytes of text and the
+longest text.
 """
 
 from __future__ import annotations
@@ -23,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import codepoints, documents_only, slices, utf8_column
+from textloom.llm.common import codepoints, documents_only, slices, tidy, utf8_column
 
 _SLICE = 1 << 20
 #: Pieces kept in a worker's cache; when full it becomes the older one and a new one starts.
@@ -325,6 +330,21 @@ class Vocabulary:
         return self.blob[np.repeat(self.start[t] - (ends - size), size) + np.arange(total)].tobytes()
 
 
+    def decode_pieces(self, ids: bytes, offsets: bytes, begin: int, end: int) -> tuple[int, bytes]:
+        """(first byte, bytes) of the pieces that have a byte in [begin, end): only their tokens are decoded."""
+        at = np.frombuffer(offsets, "<u4").astype(np.int64)
+        t = np.frombuffer(ids, "<u4")
+        ends = np.cumsum(self.length[t.astype(np.int64)])
+        total = int(ends[-1]) if len(ends) else 0
+        if not len(at) or begin >= min(end, total):
+            return min(begin, total), b""
+        first = int(at[max(0, np.searchsorted(at, begin, "right") - 1)])
+        last = np.searchsorted(at, end, "left")
+        past = int(at[last]) if last < len(at) else total
+        i, j = np.searchsorted(ends, first, "right"), np.searchsorted(ends, past, "left") + 1
+        return first, self.decode(t[i:j].tobytes())
+
+
 @lru_cache(2)
 def _vocabulary(lines: bytes) -> Vocabulary:
     return Vocabulary(lines)
@@ -335,6 +355,7 @@ class _Encode:
         self.shared, self.decode = shared, decode
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tidy()
         v = _vocabulary(self.shared.value)
         for b in batches:
             raw, offsets, _ = utf8_column(b.column(b.num_columns - 1))
@@ -347,6 +368,9 @@ class _Encode:
                     names.append("decoded")
                 keep = b.slice(i, j - i)
                 yield pa.RecordBatch.from_arrays([*keep.columns[:-1], *out], names=[*keep.schema.names[:-1], *names])
+                tidy()
+        v.cache, v.older = {}, {}  # the worker may go on with another stage
+        tidy()
 
 
 class _Decode:
@@ -388,6 +412,21 @@ def decode(df: DataFrame, vocabulary: str, key: str = "doc_id", ids: str = "ids"
     return out.withColumnRenamed("doc_key", key)
 
 
+def decode_spans(df: DataFrame, vocabulary: str, key: str = "doc_id", begin: str = "begin", end: str = "end") -> DataFrame:
+    """(key, begin, decoded): the pieces around a span of bytes of each encoded text, found by the offsets that encode()
+    kept; only their tokens are decoded. ``df`` has key, ids, piece_offsets, begin and end."""
+    own = df.select(F.col(f"`{key}`").alias("k"), "ids", "piece_offsets", F.col(f"`{begin}`").cast("long").alias("b"), F.col(f"`{end}`").cast("long").alias("e"))
+    shared = _shared(df, vocabulary)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        v = _vocabulary(shared.value)
+        for x in batches:
+            rows = [v.decode_pieces(i or b"", o or b"", b or 0, e or 0) for i, o, b, e in zip(*(x.column(c).to_pylist() for c in range(1, 5)), strict=True)]
+            yield pa.RecordBatch.from_arrays([x.column(0), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], names=["k", "begin", "decoded"])
+
+    return own.mapInArrow(run, f"k {dict(own.dtypes)['k']}, begin long, decoded binary").withColumnRenamed("k", key)
+
+
 def round_trip_digests(df: DataFrame, vocabulary: str) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256, n_pieces) of every document, of what encode() makes."""
     return encode(df, vocabulary, decoded=True).select(

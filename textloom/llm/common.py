@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -53,6 +55,21 @@ def partitions(df: DataFrame, bytes_each: int = 32 << 20, size: int | None = Non
     return max(least, -(-(size_in_bytes(df) if size is None else size) // bytes_each))
 
 
+@lru_cache(1)
+def _libc():
+    try:
+        return ctypes.CDLL("libc.so.6")
+    except OSError:
+        return None
+
+
+def tidy() -> None:
+    """Gives memory that is free back to the system: a worker is used again, by tasks of other stages too."""
+    pa.default_memory_pool().release_unused()
+    if (libc := _libc()) is not None and hasattr(libc, "malloc_trim"):
+        libc.malloc_trim(0)
+
+
 def utf8_column(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(bytes, offsets, is_null) of a string or binary Arrow column; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):

@@ -58,13 +58,14 @@ def _local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], schema=schema)
 
 
-def components(links: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -> DataFrame:
+def components(links: DataFrame, a: str = "a", b: str = "b", rounds: int = 60, forested: bool = False) -> DataFrame:
     """(node, component) of every linked node; component is the smallest node that links lead to.
 
-    Ids are integers. Links of a node with itself and null ends are left out. No links: no rows.
+    Ids are integers. Links of a node with itself and null ends are left out. No links: no rows. Links that tasks have
+    made forests of already (``forested``) go through no further worker.
     """
     pairs = links.select(F.col(a).cast("long").alias("a"), F.col(b).cast("long").alias("b")).filter("a <> b")
-    stars = cut(pairs.mapInArrow(_local, "a long, b long"))
+    stars = cut(pairs if forested else pairs.mapInArrow(_local, "a long, b long"))
     state = None
     for _ in range(rounds):
         both = stars.select(F.col("a").alias("n"), F.col("b").alias("o")).union(stars.select("b", "a"))

@@ -21,7 +21,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm.common import checkpoint_dir, partitions, size_in_bytes, slices, utf8_column
+from textloom.llm.common import checkpoint_dir, partitions, size_in_bytes, slices, tidy, utf8_column
 
 
 def pack(*arrays: np.ndarray) -> bytes:
@@ -154,7 +154,9 @@ def ask(chunks: DataFrame, emit: Callable[[int, pa.Table], Messages]) -> DataFra
 
     def run(key: tuple[pa.Scalar, ...], docs: pa.Table) -> pa.Table:
         sender = key[0].as_py()
-        return _rows(sender, emit(sender, _ordered(docs)))
+        out = _rows(sender, emit(sender, _ordered(docs)))
+        tidy()
+        return out
 
     return chunks.groupBy("chunk").applyInArrow(run, MESSAGE)
 
@@ -168,7 +170,9 @@ def answer(messages: DataFrame, reduce: Callable[[int, list[tuple[int, bytes]]],
     def run(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
         sender = key[0].as_py()
         got = sorted(zip(rows["sender"].to_pylist(), rows["load"].to_pylist(), strict=True))
-        return _rows(sender, reduce(sender, got))
+        out = _rows(sender, reduce(sender, got))
+        tidy()
+        return out
 
     return messages.repartition(buckets, "to").groupBy("to").applyInArrow(run, MESSAGE)
 
@@ -178,7 +182,9 @@ def meet(chunks: DataFrame, messages: DataFrame, use: Callable[[int, pa.Table, l
 
     def run(key: tuple[pa.Scalar, ...], docs: pa.Table, rows: pa.Table) -> pa.Table:
         got = sorted(zip(rows["sender"].to_pylist(), rows["load"].to_pylist(), strict=True))
-        return use(key[0].as_py(), _ordered(docs), got)
+        out = use(key[0].as_py(), _ordered(docs), got)
+        tidy()
+        return out
 
     return chunks.groupBy("chunk").cogroup(messages.groupBy("to")).applyInArrow(run, schema)
 
@@ -205,13 +211,14 @@ def by_bucket(bucket: np.ndarray, *columns: np.ndarray) -> Messages:
             yield int(b[i]), pack(*(c[order[i:j]] for c in columns))
 
 
-def pairs(messages: DataFrame) -> DataFrame:
-    """(a, b) of packed pairs of numbers."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for load in batch.column(0).to_pylist():
-                a, b = unpack(load, 2)
-                yield pa.RecordBatch.from_arrays([pa.array(a.astype(np.int64)), pa.array(b.astype(np.int64))], names=["a", "b"])
+def gather(messages: DataFrame, reduce: Callable[[int, list[tuple[int, bytes]]], pa.Table], buckets: int, schema: str) -> DataFrame:
+    """What ``reduce`` makes of the messages to every bucket, as rows: nothing is packed that the next step unpacks."""
 
-    return messages.select("load").mapInArrow(run, "a long, b long")
+    def run(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
+        got = sorted(zip(rows["sender"].to_pylist(), rows["load"].to_pylist(), strict=True))
+        out = reduce(key[0].as_py(), got)
+        tidy()
+        return out
+
+    return messages.repartition(buckets, "to").groupBy("to").applyInArrow(run, schema)

@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.llm import exchange
-from textloom.llm.common import cut, mix64
+from textloom.llm.common import cut, mix64, tidy
 from textloom.llm.components import components, forest
 from textloom.llm.shingles import sets_of
 
@@ -112,6 +112,7 @@ def _sets(key: tuple[pa.Scalar, ...], docs: pa.Table) -> pa.Table:
     for i, x in zip(full, signatures([sets[i] for i in full]), strict=True):
         digest[i] = hashlib.blake2b(sets[i].tobytes(), digest_size=16).digest()
         sig[i] = x.tobytes()
+    tidy()
     return pa.table({"doc_id": docs["doc_id"], "row_id": docs["row_id"], "chunk": docs["chunk"], "digest": pa.array(digest, pa.binary()), "shingles": pa.array([len(s) for s in sets], pa.int64()), "sig": pa.array(sig, pa.binary())})
 
 
@@ -277,8 +278,7 @@ def _edges(similarity: float):
             heads.append(ids[at[p]])
             tails.append(ids[at[q]])
         a, b = forest(np.concatenate(heads), np.concatenate(tails))
-        if len(a):
-            yield bucket, exchange.pack(a, b)
+        return pa.table({"a": pa.array(a.astype(np.int64)), "b": pa.array(b.astype(np.int64))})
 
     return reduce
 
@@ -406,8 +406,8 @@ def join_table(table: DataFrame, similarity: float, recall: float) -> DataFrame:
     company = exchange.answer(exchange.ask(slim, _shortest(width)), _total, width)
     counted = exchange.answer(exchange.meet(slim, company, _deeper(width), exchange.MESSAGE), _total, width)
     dealt = exchange.meet(slim, counted, _deal(4 * width, similarity, recall), exchange.MESSAGE)
-    near = exchange.pairs(exchange.answer(dealt, _edges(similarity), 4 * width))
-    groups = cut(components(near).select(F.col("node").alias("row_id"), F.col("component").alias("grp")))
+    near = exchange.gather(dealt, _edges(similarity), 4 * width, "a long, b long")
+    groups = cut(components(near, forested=True).select(F.col("node").alias("row_id"), F.col("component").alias("grp")))
     parts = groups.groupBy("grp").agg(F.ceil(F.count("*") / F.lit(TILE)).cast("long").alias("parts"))
     asked = groups.join(parts, "grp").join(reps.select("row_id", "chunk", "many"), "row_id").select("chunk", "row_id", "grp", F.col("row_id").alias("rep"), "many", "parts")
     got = table.groupBy("chunk").cogroup(asked.groupBy("chunk")).applyInArrow(_fetch, "grp long, rep long, many long, parts long, s binary")
@@ -416,7 +416,7 @@ def join_table(table: DataFrame, similarity: float, recall: float) -> DataFrame:
     tiles = got.withColumn("t", F.explode(every)).select("grp", F.col("t.a").alias("a"), F.col("t.b").alias("b"), F.col("t.side").alias("side"), "rep", "many", "s")
     found = cut(tiles.groupBy("grp", "a", "b").applyInArrow(_verify(similarity), "rep long, links long, to long"))
     links = found.filter("to is null").groupBy("rep").agg(F.sum("links").alias("links"))
-    linked = components(found.filter("to is not null").select(F.col("rep").alias("a"), F.col("to").alias("b")))
+    linked = components(found.filter("to is not null").select(F.col("rep").alias("a"), F.col("to").alias("b")), forested=True)
     # Classes are named by their smallest document id.
     per = reps.select("digest", F.col("row_id").alias("set_id"), "rep", "many").join(linked.select(F.col("node").alias("set_id"), "component"), "set_id", "left").join(links.withColumnRenamed("rep", "set_id"), "set_id", "left")
     per = cut(per.withColumn("component", F.coalesce("component", "set_id")))

@@ -25,13 +25,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import codepoints, slices, utf8_column
+from textloom.llm.common import codepoints, slices, tidy, utf8_column
 
 #: Hash buckets of n-grams; documents a language in the training sample, at most about.
 DIMENSIONS, SAMPLE_EACH = 1 << 15, 500
 #: Tasks that count document frequencies, at most: each sends DIMENSIONS rows.
 COUNTERS = 4096
-_SLICE = 1 << 20
+_SLICE = 1 << 18
 
 
 @lru_cache(1)
@@ -239,6 +239,7 @@ class _Predict:
                 best = [m.labels[i] if h else "und" for i, h in zip(at.tolist(), letters.tolist(), strict=True)]
                 top = np.where(letters, p.max(1, initial=0.0), 0.0)
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(best, pa.string()), pa.array(top, pa.float64())], names=[*b.schema.names[:-1], "lang_pred", "score"])
+            tidy()
 
 
 def predict(docs: DataFrame, model: Model | None, text: str = "text", key: str = "doc_id") -> DataFrame:

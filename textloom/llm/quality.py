@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import cut, utf8_column
+from textloom.llm.common import cut, tidy, utf8_column
 from textloom.llm.langid import DIMENSIONS, ngrams
 
 #: Labelled documents, about; rounds of co-training; pseudo-labels a round and view.
@@ -258,6 +258,7 @@ def _pool(own: DataFrame, model: Model, chosen: DataFrame, slot: Column) -> list
         for x in batches:
             first, second = shared.value.views(x)
             yield pa.RecordBatch.from_arrays([x.column(0), x.column(5), pa.array(np.nan_to_num(first)), pa.array(np.nan_to_num(second))], names=["k", "h", "first", "second"])
+            tidy()
 
     kind = dict(own.dtypes)["k"]
     body = F.xxhash64("t")
@@ -284,6 +285,7 @@ def score(docs: DataFrame, model: Model | None, key: str = "doc_id", threshold:
         for b in batches:
             q = shared.value.score(b)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.nan_to_num(q, nan=0.0))], names=["k", "quality"])
+            tidy()
 
     own = docs.select(*_columns(docs, key))
     if model is None:
@@ -304,6 +306,7 @@ def filter_documents(docs: DataFrame, model: Model | None, threshold: float = 0.
             pick = [b.column(names.index(have[c])) if c in have else pa.nulls(b.num_rows) for c in ("doc_id", "text", "source", "lang", "n_chars")]
             q = np.nan_to_num(shared.value.score(pa.RecordBatch.from_arrays(pick, names=list("ktsln"))), nan=0.0)
             yield b.filter(pa.array(q >= threshold))
+            tidy()
 
     plain = docs.toDF(*names)
     return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)

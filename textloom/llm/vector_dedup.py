@@ -241,7 +241,7 @@ def near_duplicates(df: DataFrame, vector: str = "embedding", key: str = "vec_id
     parts = {(r["dim"], r["block"], r["cell"]): (-(-r["n"] // CHUNK), -(-r["m"] // CHUNK)) for r in counts.filter("n > 0").collect()}
     dealt = reps.mapInArrow(_deal(cosine, model, parts), f"dim int, block int, cell long, a int, b int, alone boolean, side byte, rep long, many long, v {dict(reps.dtypes)['v']}")
     found = cut(dealt.groupBy("dim", "block", "cell", "a", "b", "alone").applyInArrow(_tile(cosine), "rep long, links long, to long"))
-    joined = components(found.filter("to is not null").select(F.col("rep").alias("a"), F.col("to").alias("b")))
+    joined = components(found.filter("to is not null").select(F.col("rep").alias("a"), F.col("to").alias("b")), forested=True)
     links = found.filter("to is null").groupBy("rep").agg(F.sum("links").alias("links"))
     per_rep = reps.select("rep", "many", "v").join(links, "rep", "left").join(joined.select(F.col("node").alias("rep"), "component"), "rep", "left")
     per_rep = per_rep.select(F.col("v").alias("rv"), (F.coalesce("links", F.lit(0)) + F.col("many") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
