@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import random
+import tracemalloc
 
 import numpy as np
 import public_tokenizers
@@ -159,3 +160,19 @@ def test_empty(spark):
         assert df.count() == 0
     vec = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert vector_dedup.near_duplicates(vec).count() == 0 and ann.search(vec, F.col("vec_id") == 0).count() == 0
+
+
+def test_lists_are_fitted_in_blocks():
+    x = np.random.default_rng(4).standard_normal((20_000, 8))
+    tracemalloc.start()
+    model = ann.Lists(x, 1_000_000, float(np.sqrt((x * x).sum(1).max())), 20, 0.95)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(model.c) == 4000 and most < 250e6  # all distances at once are 640 MB
+    i, lists = model.probe(x[:2500], np.full(4000, 5), 20)
+    assert (np.bincount(i) >= model.probes).all() and lists.max() < 4000
+
+
+def test_sample_is_bounded(spark):
+    df = spark.range(3000).selectExpr("7L as id", "id as row", "array(double(id), 1.0D) as v")
+    assert 300 < len(ann._sample(df, 2, 500)) <= 500

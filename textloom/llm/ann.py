@@ -9,7 +9,8 @@ read, and a candidate is abandoned as soon as a test at ``EPSILON`` says that it
 What is left is scored exactly, on the original vectors in double precision.
 
 There are about ``FINE * sqrt(n)`` lists for n rows: the sample grows with them (``EACH`` rows a list, at least
-``SAMPLE``), so the model is of the order of the root of the table. Lists near each other form groups; a group
+``SAMPLE``), until it has ``MOST`` bytes; then there are no more lists, only longer ones, and the model stops growing.
+Fitting works in blocks, so the driver holds the sample twice and little besides. Lists near each other form groups; a group
 is cut into chunks of ``CHUNK`` rows and ``ASKS`` queries, so a hot one is many tasks, and a query goes to a
 group once with the lists that it probes there. A task returns k rows a query.
 
@@ -35,12 +36,14 @@ from textloom.llm.vectors import matrix, rotation, usable
 #: Rows that centroids and the number of probes are fitted on, at least, and for each list; lists by the root of
 #: the rows; rows and queries of a task's chunk.
 SAMPLE, EACH, FINE, CHUNK, ASKS = 20_000, 16, 4.0, 16_384, 8192
+#: Bytes of the sample as doubles; numbers in a block of a matrix of distances.
+MOST, BLOCK = 64 << 20, 1 << 22
 #: Dimensions of a block; the test's width in standard errors.
 COLUMNS, EPSILON = 16, 2.4
 
 
 def _augment(x: np.ndarray, bound: float) -> np.ndarray:
-    rest = np.maximum(0.0, bound * bound - (x * x).sum(1))
+    rest = np.maximum(0.0, bound * bound - np.einsum("ij,ij->i", x, x))
     return np.column_stack([x, np.sqrt(rest)])
 
 
@@ -48,7 +51,7 @@ def _centroids(x: np.ndarray, lists: int, rounds: int = 8, seed: int = 3) -> np.
     rng = np.random.default_rng(seed)
     c = x[rng.choice(len(x), min(lists, len(x)), replace=False)]
     for _ in range(rounds):
-        near = ((c * c).sum(1) - 2 * (x @ c.T)).argmin(1)
+        near = _near(x, c, 1)[:, 0]
         n = np.bincount(near, minlength=len(c))
         total = np.zeros_like(c)
         np.add.at(total, near, x)
@@ -60,22 +63,47 @@ def _near(q: np.ndarray, c: np.ndarray, n: int) -> np.ndarray:
     """The n nearest centroids of each query, nearest first."""
     out = np.empty((len(q), min(n, len(c))), np.int64)
     half = (c * c).sum(1) / 2
-    for i in range(0, len(q), 1024):
-        d = half - q[i : i + 1024] @ c.T
+    step = max(1, min(1024, BLOCK // len(c)))
+    for i in range(0, len(q), step):
+        d = half - q[i : i + step] @ c.T
         if out.shape[1] == 1:
-            out[i : i + 1024, 0] = d.argmin(1)
+            out[i : i + step, 0] = d.argmin(1)
         else:
-            out[i : i + 1024] = np.argsort(d, 1, kind="stable")[:, : out.shape[1]]
+            out[i : i + step] = np.argsort(d, 1, kind="stable")[:, : out.shape[1]]
     return out
 
 
+def _most(d: int) -> int:
+    """Rows of the sample at most."""
+    return max(1024, MOST // (8 * d))
+
+
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Ids and vectors of a batch as two binaries: rows as objects take the driver many times the memory."""
+    for b in batches:
+        if b.num_rows:
+            yield pa.RecordBatch.from_arrays([pa.array([b.column(0).to_numpy().tobytes()]), pa.array([matrix(b.column(1)).tobytes()])], names=["ids", "v"])
+
+
+def _sample(drawn: DataFrame, d: int, most: int) -> np.ndarray:
+    """About ``most`` of the rows at most, by id; ids that repeat may have drawn many more."""
+    n = drawn.count()
+    if n > 1.2 * most:
+        drawn = drawn.filter(F.pmod(F.xxhash64(F.lit(1), "row"), F.lit(1_000_003)) <= F.lit(int(1_000_003 * most / n)))
+    got = drawn.select("id", "v").mapInArrow(_packed, "ids binary, v binary").collect()
+    ids = np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(r["ids"], np.int64) for r in got)])
+    x = np.concatenate([np.zeros((0, d)), *(np.frombuffer(r["v"]).reshape(-1, d) for r in got)])
+    del got
+    return x[np.lexsort((*x.T[::-1], ids))[:most]]
+
+
 class Lists:
     """The model of one length of vectors: centroids, their groups, and how many lists a query probes."""
 
     def __init__(self, x: np.ndarray, rows: int, bound: float, k: int, aim: float):
         self.bound = bound
         wide = _augment(x, bound)
-        self.c = _centroids(wide, max(1, round(FINE * np.sqrt(rows))))
+        self.c = _centroids(wide, max(1, min(round(FINE * np.sqrt(rows)), _most(x.shape[1]) // EACH)))
         self.group = _near(self.c, _centroids(self.c, max(1, round(np.sqrt(len(self.c)) * 2))), 1)[:, 0]
         self.probes = self._fit(x, wide, k, aim)
 
@@ -85,27 +113,35 @@ class Lists:
         k = min(k, len(x) - 1)
         if k < 1 or len(self.c) < 2:
             return len(self.c)
-        s = x[own] @ x.T
-        s[np.arange(len(own)), own] = -np.inf
-        best = np.argpartition(-s, k - 1, 1)[:, :k]
-        home = _near(wide, self.c, 1)[:, 0]
-        order = _near(np.column_stack([x[own], np.zeros(len(own))]), self.c, len(self.c))
-        place = np.empty_like(order)
-        np.put_along_axis(place, order, np.arange(len(self.c))[None, :], 1)
-        at = np.sort(np.take_along_axis(place, home[best], 1).ravel())
+        home, places = _near(wide, self.c, 1)[:, 0], []
+        step = max(1, BLOCK // len(x))
+        for i in range(0, len(own), step):
+            some = own[i : i + step]
+            s = -(x[some] @ x.T)
+            s[np.arange(len(some)), some] = np.inf
+            best = np.argpartition(s, k - 1, 1)[:, :k]
+            order = _near(np.column_stack([x[some], np.zeros(len(some))]), self.c, len(self.c))
+            place = np.empty_like(order)
+            np.put_along_axis(place, order, np.arange(len(self.c))[None, :], 1)
+            places.append(np.take_along_axis(place, home[best], 1).ravel())
+        at = np.sort(np.concatenate(places))
         return int(at[min(len(at) - 1, int(np.ceil(aim * len(at))))]) + 1
 
     def probe(self, q: np.ndarray, size: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """(query, list): the nearest lists of each query, and further ones until they hold k rows besides it."""
-        order = _near(np.column_stack([q, np.zeros(len(q))]), self.c, len(self.c))
-        held = np.cumsum(size[order], 1)
-        enough = np.minimum((held < k + 1).sum(1) + 1, len(self.c))
-        n = np.maximum(enough, self.probes)
-        take = np.arange(len(self.c)) < n[:, None]
-        i, j = np.nonzero(take)
-        lists = order[i, j]
-        full = size[lists] > 0
-        return i[full], lists[full]
+        out, step = [], max(1, BLOCK // len(self.c))
+        for x in range(0, len(q), step):
+            part = q[x : x + step]
+            order = _near(np.column_stack([part, np.zeros(len(part))]), self.c, len(self.c))
+            held = np.cumsum(size[order], 1)
+            enough = np.minimum((held < k + 1).sum(1) + 1, len(self.c))
+            n = np.maximum(enough, self.probes)
+            i, j = np.nonzero(np.arange(len(self.c)) < n[:, None])
+            lists = order[i, j]
+            full = size[lists] > 0
+            out.append((i[full] + x, lists[full]))
+        i, lists = zip(*out, strict=True)
+        return np.concatenate(i), np.concatenate(lists)
 
 
 def scan(q: np.ndarray, qrow: np.ndarray, probe: np.ndarray, x: np.ndarray, xrow: np.ndarray, xid: np.ndarray, list_of: np.ndarray, bound: float, k: int, step: int = 1024) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -231,9 +267,9 @@ def search(df: DataFrame, queries: Column, vector: str = "embedding", key: str =
     model: dict[int, Lists] = {}
     for r in own.groupBy("dim").agg(F.count("*").alias("n"), F.max(norm).alias("bound")).collect():  # a row a length
         d, n, bound = r["dim"], r["n"], r["bound"] * (1 + 1e-9)
-        sample = max(SAMPLE, round(EACH * FINE * np.sqrt(n)))
+        sample = min(max(SAMPLE, round(EACH * FINE * np.sqrt(n))), _most(d))
         drawn = own.filter((F.col("dim") == d) & (F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(1_000_003)) <= F.lit(int(1_000_003 * min(1.0, sample / n)))))
-        x = np.array([row["v"] for row in drawn.select("id", "v").orderBy("id", "v").limit(sample).select("v").collect()], np.float64).reshape(-1, d)
+        x = _sample(drawn, d, sample)
         model[d] = Lists(x if len(x) else np.zeros((1, d)), n, bound, k, aim)
     homes = cut(own.mapInArrow(_homes(model), f"row long, id long, dim int, list int, v {dict(own.dtypes)['v']}, query boolean"))
     size = {d: np.zeros(len(m.c), np.int64) for d, m in model.items()}
