@@ -176,3 +176,22 @@ def test_lists_are_fitted_in_blocks():
 def test_sample_is_bounded(spark):
     df = spark.range(3000).selectExpr("7L as id", "id as row", "array(double(id), 1.0D) as v")
     assert 300 < len(ann._sample(df, 2, 500)) <= 500
+
+
+def test_copies_of_all_chunks_are_sorted_once(monkeypatch):
+    rng, sorted_bytes, plain = np.random.default_rng(5), [], suffix_dedup.two_stage
+    monkeypatch.setattr(suffix_dedup, "two_stage", lambda t, *a: sorted_bytes.append(len(t)) or plain(t, *a))
+    same = [rng.integers(97, 123, 70).astype(np.uint8) for _ in range(30)]
+    longer = np.concatenate([same[0][:60], rng.integers(97, 123, 9).astype(np.uint8)])  # shares 11 strings with the first
+    got = []
+    for c in range(20):
+        own = [*same, longer] if c == 7 else same
+        n = np.array([len(x) for x in own])
+        got.append((c, suffix_dedup.exchange.pack(np.concatenate(own), n, np.full(len(n), 100 - c), np.arange(len(n)), np.zeros(len(n), np.int64))))
+    spans = {to: suffix_dedup.exchange.unpack(blob, 3) for to, blob in suffix_dedup._sort(50)(0, got)}
+    assert sum(sorted_bytes) == 30 * 70 + 69
+    assert 19 not in spans  # the smallest document keeps all
+    for c in range(19):
+        k, begin, end = spans[c]
+        want = {(i, 0, 70) for i in range(30)} | ({(30, 0, 60)} if c == 7 else set())
+        assert set(zip(k.tolist(), begin.tolist(), end.tolist(), strict=True)) == want

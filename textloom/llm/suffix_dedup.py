@@ -11,7 +11,8 @@ smallest document. A bucket joins its stretches into one text and sorts its suff
 suffixes smaller than their successors are sorted directly, all others are induced by scanning the
 buckets of first bytes in order. Adjacent common prefixes of ``length`` bytes give the groups of equal
 strings, each group its smallest document, and the answers to the chunks are the spans that go. Copies
-of a stretch within a chunk need no bucket: all of them but those of the smallest document go whole.
+of a stretch need no sorting: all of them but those of the smallest document go whole, in the chunk or, where
+they come from several, in the bucket.
 
 A seed that very many stretches have, all different (a licence line, a stem of urls), is split before round
 two: its strings go by a second minimizer, the least seed of theirs by another hash, which equal strings
@@ -180,12 +181,7 @@ def _send(length: int, buckets: int):
 
     def messages(ids, bodies, h, k, begin, size):
         text = [bodies[a][b : b + c] for a, b, c in zip(k.tolist(), begin.tolist(), size.tolist(), strict=True)]
-        least: dict[bytes, int] = {}
-        docs = ids[k].tolist()
-        for t, d in zip(text, docs, strict=True):
-            if d < least.setdefault(t, d):
-                least[t] = d
-        whole = np.array([d > least[t] for t, d in zip(text, docs, strict=True)], bool)
+        whole = copies(text, ids[k])
         # Copies go whole. The smallest document's stretch is asked for, and so are its repeats there.
         if whole.any():
             yield -1, exchange.pack(k[whole], begin[whole], begin[whole] + size[whole])
@@ -332,34 +328,52 @@ def same_prefix(t: np.ndarray, sa: np.ndarray, room: np.ndarray, depth: int) ->
     return same
 
 
+def copies(text: list[bytes], doc: np.ndarray) -> np.ndarray:
+    """Which stretches a smaller document has too, byte for byte: all of their strings go."""
+    least: dict[bytes, int] = {}
+    docs = doc.tolist()
+    for t, d in zip(text, docs, strict=True):
+        if d < least.setdefault(t, d):
+            least[t] = d
+    return np.array([d > least[t] for t, d in zip(text, docs, strict=True)], bool)
+
+
 def _sort(length: int):
     """Round two, buckets: spans of strings that an earlier document has, to the chunks they came from."""
 
     def reduce(bucket: int, got: list[tuple[int, bytes]]):
         parts = [exchange.unpack(load, 5) for _, load in got]
-        t = np.concatenate([p[0] for p in parts])
+        raw = b"".join([p[0].tobytes() for p in parts])
         size, doc, k, begin = (np.concatenate([p[i] for p in parts]) for i in (1, 2, 3, 4))
         sender = np.repeat(np.arange(len(got)), [len(p[1]) for p in parts])
+        ends = np.cumsum(size).tolist()
+        text = [raw[x:y] for x, y in zip([0, *ends[:-1]], ends, strict=True)]
+        # Copies go whole here too, so each different stretch is sorted once, whatever the number of chunks.
+        whole = copies(text, doc)
+        spans = [(sender[whole], k[whole], begin[whole], begin[whole] + size[whole])]
+        text, (sender, size, doc, k, begin) = [text[i] for i in np.flatnonzero(~whole).tolist()], (x[~whole] for x in (sender, size, doc, k, begin))
+        spans.append(rest(np.frombuffer(b"".join(text), np.uint8), sender, size, doc, k, begin))
+        to, k, begin, end = (np.concatenate(x) for x in zip(*spans, strict=True))
+        for to, blob in exchange.by_bucket(to, k, begin, end) if len(k) else ():
+            yield got[to][0], blob
+
+    def rest(t, sender, size, doc, k, begin):
         ends = np.cumsum(size)
         owner = np.repeat(np.arange(len(size)), size)
         room = ends[owner] - np.arange(len(t))
         sa = two_stage(t, ends, room >= length, length)
         same = same_prefix(t, sa, room, length)
         first = np.flatnonzero(~same)
-        if not len(sa):
-            return
         of = doc[owner[sa]]
         least = np.repeat(np.minimum.reduceat(of, first), np.diff(np.append(first, len(sa))))
         gone = np.sort(sa[of > least])
-        if not len(gone):
-            return
         o = owner[gone]
         at = begin[o] + gone - (ends[o] - size[o])
-        run = np.concatenate([[True], (gone[1:] != gone[:-1] + 1) | (o[1:] != o[:-1])])
+        run = np.ones(len(gone), bool)
+        run[1:] = (gone[1:] != gone[:-1] + 1) | (o[1:] != o[:-1])
         i = np.flatnonzero(run)
-        j = np.append(i[1:], len(gone)) - 1
-        for to, blob in exchange.by_bucket(sender[o[i]], k[o[i]], at[i], at[j] + length):
-            yield got[to][0], blob
+        j = np.append(i[1:], len(gone))[: len(i)] - 1
+        return sender[o[i]], k[o[i]], at[i], at[j] + length
 
     return reduce
 
