@@ -195,3 +195,21 @@ def test_copies_of_all_chunks_are_sorted_once(monkeypatch):
         k, begin, end = spans[c]
         want = {(i, 0, 70) for i in range(30)} | ({(30, 0, 60)} if c == 7 else set())
         assert set(zip(k.tolist(), begin.tolist(), end.tolist(), strict=True)) == want
+
+
+def test_passages_of_a_document_between(spark):
+    # Parts of the last document's passage are in many documents before and after the only one that has it whole.
+    rng = random.Random(11)
+    own = words(rng, 80).split()
+
+    def within(part):
+        return " ".join([*words(rng, 40).split(), *part, *words(rng, 40).split()])
+
+    parts = [own[i : i + 36] for i in range(0, 80, 4)] * 6
+    texts = [*map(within, parts), within(own), *map(within, parts), within([*own[:40], "edited", *own[41:]])]
+    whole, last = len(parts), len(texts) - 1
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for chunks in (1, 5):
+        got = {r["doc_id"]: r for r in compact_windows.remove_passages(df, chunks=chunks).collect()}
+        assert (got[last]["span_begins"], got[last]["span_ends"], got[last]["sources"]) == ([40], [120], [whole])
+        assert not any(got[i]["span_begins"] for i in range(last))
