@@ -7,11 +7,13 @@ import tracemalloc
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
+import zstandard
 from pyspark.sql import functions as F
 
-from textloom.llm import ann, bpe, compact_windows, jaccard_forest, langid, mixing, quality, suffix_dedup, url_rules, vector_dedup
+from textloom.llm import ann, bpe, compact_windows, exchange, jaccard_forest, langid, mixing, quality, suffix_dedup, url_rules, vector_dedup
 from textloom.llm.registry import VOCABULARY
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size long"
@@ -213,3 +215,31 @@ def test_passages_of_a_document_between(spark):
         got = {r["doc_id"]: r for r in compact_windows.remove_passages(df, chunks=chunks).collect()}
         assert (got[last]["span_begins"], got[last]["span_ends"], got[last]["sources"]) == ([40], [120], [whole])
         assert not any(got[i]["span_begins"] for i in range(last))
+
+
+def test_long_passages_of_a_document_between(spark):
+    # Windows of passages of 160 words hold more shingles than a byte counts.
+    rng = random.Random(12)
+    own = words(rng, 300).split()
+    parts = [own[i : i + 130] for i in range(0, 300, 10)] * 2
+
+    def within(part):
+        return " ".join([*words(rng, 40).split(), *part, *words(rng, 40).split()])
+
+    texts = [*map(within, parts), within(own), *map(within, parts), within([*own[:150], "edited", *own[151:]])]
+    whole, last = len(parts), len(texts) - 1
+    got = {r["doc_id"]: r for r in compact_windows.remove_passages(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), min_words=160, chunks=3).collect()}
+    assert (got[last]["span_begins"], got[last]["span_ends"], got[last]["sources"]) == ([40], [340], [whole])
+    assert not any(got[i]["span_begins"] for i in range(last))
+
+
+def test_windows_of_a_recurring_shingle():
+    # A signature at every tenth place has as many windows; the bucket gets the text around them once.
+    text = words(random.Random(13), 400).encode()
+    docs = pa.table({"doc_id": pa.array([5], pa.int64()), "row_id": pa.array([0], pa.int64()), "rest": pa.array([None], pa.int32()), "chunk": pa.array([0], pa.int32()), "body": pa.array([zstandard.ZstdCompressor().compress(text)], pa.binary())})
+    c = np.arange(50, 300, 10)
+    near = np.full(len(c), 23)
+    windows = exchange.pack(np.append(np.full(len(c), 9), 9).astype(np.uint64), np.zeros(len(c) + 1, np.int32), np.append(c, 370).astype(np.int32), np.append(near, 5).astype(np.uint16), np.append(near, 5).astype(np.uint16))
+    sent = compact_windows._open(46, 0.8, 1)(0, docs, [(-2, windows)])
+    sig, doc, _, begin, size, x, settled = exchange.unpack(sent["load"][0].as_py(), 7)
+    assert sig.tolist() == [9, 9] and doc.tolist() == [5, 5] and begin.tolist() == [27, 365] and size.tolist() == [290 + 23 - 27, 10] and len(x) == size.sum()
