@@ -13,6 +13,7 @@ import tiktoken
 import zstandard
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from textloom.llm import ann, bpe, compact_windows, exchange, jaccard_forest, langid, mixing, quality, suffix_dedup, url_rules, vector_dedup
 from textloom.llm.registry import VOCABULARY
 
@@ -217,6 +218,28 @@ def test_passages_of_a_document_between(spark):
         assert not any(got[i]["span_begins"] for i in range(last))
 
 
+def test_passages_that_a_document_has_twice(spark):
+    # As above, twice in one document, and in two rows of one id; the stage of the pipeline that cuts passages does the same.
+    rng = random.Random(14)
+    own = words(rng, 240).split()
+    parts = [own[i : i + 36] for i in range(0, 240, 6)] * 2
+
+    def within(*parts):
+        return " ".join(w for part in parts for w in [*words(rng, 40).split(), *part, *words(rng, 40).split()])
+
+    edited, other = [*own[:120], "edited", *own[121:]], [*own[:80], "other", *own[81:]]
+    texts = [*map(within, parts), within(own), *map(within, parts), within(edited, edited)]
+    whole, last = len(parts), len(texts) - 1
+    rows = [*enumerate(texts), (last + 1, within(other)), (last + 1, within(other))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for chunks in (1, 5):
+        got = compact_windows.remove_passages(df, chunks=chunks).filter(F.col("doc_id") >= last).orderBy("doc_id").collect()
+        assert [(r["span_begins"], r["span_ends"]) for r in got] == [([40, 360], [280, 600]), *[([40], [280])] * 2]
+        assert got[0]["sources"] == [whole]
+    kept = corpus_pipeline.cut_passages(spark, df, "").filter(F.col("doc_id") == last).first()["text"].split()
+    assert kept == [w for i, w in enumerate(texts[last].split()) if not (40 <= i < 280 or 360 <= i < 600)]
+
+
 def test_long_passages_of_a_document_between(spark):
     # Windows of passages of 160 words hold more shingles than a byte counts.
     rng = random.Random(12)
